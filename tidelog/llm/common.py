@@ -66,16 +66,17 @@ def components(edges: DataFrame, name: str = "cc", a: str = "a", b: str = "b") -
     Alternating large-star and small-star rounds, each written to the shared folder: a number of
     rounds that grows with the logarithm of the longest path, and never a component in one task.
     """
-    cur = saved(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("v < u").distinct(), name)
+    sign = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+    cur, before = saved(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("v < u").distinct(), name), None
     while True:
         both = cur.unionAll(cur.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m0")).select("v", F.least("v", "m0").alias("m"))
-        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v > u").distinct()
+        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select(F.col("e.u").alias("v"), F.col("e.v").alias("u")).where("v < u").distinct()
-        new = saved(small, name)
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first() == cur.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        cur = new
-        if same:
+        ends = F.explode(F.array(F.struct("m", F.col("v").alias("x")), F.struct("m", F.col("u").alias("x")))).alias("e")
+        cur = saved(large.join(low, "v").select(ends).select(F.col("e.m").alias("v"), F.col("e.x").alias("u")).where("v < u").distinct(), name)
+        now = sign(cur)
+        if now == before:
             break
+        before = now
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

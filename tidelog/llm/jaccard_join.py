@@ -43,7 +43,7 @@ REGION_SHINGLES = 4_000_000
 SPLIT_PIVOTS = 16
 #: Empty ranges that a set may have in a segment draw before it joins the next draw.
 SPARE = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -150,12 +150,18 @@ def doc_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_shingles long, digest binary")
 
 
-def _emit_segments(n: int, num: int, den: int, seen_limit: int = 1_000_000):
+def _emit_segments(n: int, num: int, den: int, seen_limit: int = 200_000):
+    def frame(sigs, nodes, counts):
+        return pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "node": np.repeat(np.array(nodes, np.int64), counts)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes, seen = Classes(num, den), set()
         for pdf in batches:
             sigs, nodes, counts = [], [], []
-            for t in pdf["text"].array:
+            for k, t in enumerate(pdf["text"].array):
+                if k % 1000 == 999 and sigs:
+                    yield frame(sigs, nodes, counts)
+                    sigs, nodes, counts = [], [], []
                 s = shingles(t, n)
                 if len(s) < classes.least:
                     continue
@@ -170,7 +176,7 @@ def _emit_segments(n: int, num: int, den: int, seen_limit: int = 1_000_000):
                 nodes.append(node)
                 counts.append(len(g))
             if sigs:
-                yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "node": np.repeat(np.array(nodes, np.int64), counts)})
+                yield frame(sigs, nodes, counts)
 
     return run
 
@@ -378,10 +384,11 @@ def linked(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, limit: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = saved(doc_sets(docs, n), "sets")
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select("text").mapInPandas(_emit_segments(n, num, den), "sig long, node long").repartition(shuffle, "sig")
+    # The filter is the one that the join would add to one side only; with it the sides are one plan.
+    sent = docs.select("text").mapInPandas(_emit_segments(n, num, den), "sig long, node long").where("sig is not null and node is not null").repartition(shuffle, "sig")
     # Both sides use the one exchange by sig; only (sig, least node) of ranges that meet is joined.
     met = sent.groupBy("sig").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m < x").select("sig", "m")
-    stars = sent.join(met, "sig").where("node > m").select(F.col("m").alias("a"), F.col("node").alias("b")).distinct()
+    stars = sent.hint("merge").join(met, "sig").where("node > m").select(F.col("m").alias("a"), F.col("node").alias("b")).distinct()
     regions = saved(components(saved(stars, "stars"), "regions"), "region")
     reps = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
     wanted = saved(reps.withColumn("node", _low64(F.col("digest"))).join(regions, "node").select("doc_id", F.col("component").alias("region"), "digest"), "wanted")

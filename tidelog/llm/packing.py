@@ -13,12 +13,16 @@ ignored; ties between equal lengths are broken by (doc_id, row, piece).
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,39 +31,104 @@ from .common import parts, saved, text_of
 CAPACITY = 2048
 #: Pieces that one partition packs.
 PIECES_PER_PART = 20_000
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+#: Chunks whose ids a worker remembers, in each of two generations.
+CACHE_CHUNKS = 400_000
 
 
-class WordTokens(dict):
-    """Little-endian ids of each word; asks the tokenizer once per word.
+class WordTokens:
+    """Ids of texts by their chunks between white space; asks the tokenizer once per chunk.
 
-    The tokenizer splits text by the pattern below before any merge, so ids of a text are those of
-    its words in turn. That holds for the characters of ``plain`` (their lower case is one character
-    and canonical composition keeps them); a text with any other, or with "<|", goes to the
-    tokenizer whole.
+    The tokenizer splits text by white space and by the pattern below before any merge, so the ids
+    of a text are those of its chunks in turn. That holds for the characters that ``ODD`` admits
+    (their lower case is one character and canonical composition keeps them); a text with any
+    other, or with "<|", goes to the tokenizer whole. Arrow splits and numbers the chunks of a group
+    of texts, so only distinct chunks are Python objects; new ones are encoded together, and the
+    end-of-word mark, which only the last token of a piece has, parts them again. Two generations of
+    CACHE_CHUNKS bound the memory.
     """
 
+    ODD = "[^\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ¡¿«»–—‘’“”…]|<\\|"
+
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tok = Tokenizer.from_file(path)
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.odd = regex.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ¡¿«»–—‘’“”…]|<\\|").search
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        if self.odd(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, self.words(text.lower())))
+        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        # The same merges on pieces that are parted already and written as byte letters.
+        self.merges = Tokenizer(self.tok.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in kept and b != 32]
+        self.letters = {**{b: b for b in kept}, **{b: 256 + k + (b > 32) for k, b in enumerate(rest)}}
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encodes chunks that are not known, by their pieces."""
+        parts = [self.pieces(c) for c in chunks]
+        unknown = set(chain.from_iterable(parts)).difference(self.new)
+        fresh = unknown.difference(self.old)
+        self.new.update((c, self.old[c]) for c in unknown.difference(fresh))
+        fresh = list(fresh)
+        for at in range(0, len(fresh), 2000):
+            some = fresh[at : at + 2000]
+            text = " ".join(some)
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            last = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(last) != len(some):
+                self.new.update((c, self.whole(c)) for c in some)
+                continue
+            flat = ids.tobytes()
+            self.new.update((c, flat[a:b]) for c, a, b in zip(some, [0, *last], last))
+        ids = self.new.__getitem__
+        self.new.update((c, b"".join(map(ids, p))) for c, p in zip(chunks, parts) if len(p) != 1)
+
+    def of(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian ids of each text."""
+        odd = pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        chunks = pc.ascii_split_whitespace(pc.utf8_lower(plain))
+        coded = chunks.flatten().dictionary_encode()
+        if len(self.new) > CACHE_CHUNKS:
+            self.new, self.old = {}, self.new
+        words = coded.dictionary.to_pylist()
+        unknown = set(words).difference(self.new)
+        unknown.discard("")
+        fresh = unknown.difference(self.old)
+        self.new.update((c, self.old[c]) for c in unknown.difference(fresh))
+        self.learn(list(fresh))
+        self.new[""] = b""
+        known = list(map(self.new.__getitem__, words))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        table, start = np.frombuffer(b"".join(known), "<u4"), np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64) if len(size) else size
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[code]
+        end = np.cumsum(n)
+        flat = table[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start[code] - (end - n), n)].tobytes()
+        cuts = (4 * np.concatenate(([0], end))[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]).tolist()
+        return [self.whole(texts[k].as_py()) if odd[k] else flat[cuts[k] : cuts[k + 1]] for k in range(len(texts))]
+
+
+def groups_of(texts: pa.Array, size: int = 6_000_000) -> Iterator[tuple[int, int]]:
+    """(start, length) of slices of texts of about so many bytes."""
+    start = total = 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        total += n
+        if total >= size:
+            yield start, k + 1 - start
+            start, total = k + 1, 0
+    if start < len(texts):
+        yield start, len(texts) - start
 
 
 @lru_cache(2)
@@ -78,20 +147,22 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     tokenizer = tokenizer or tokenizer_path()
     schema = "doc_id long, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, end, step, crc = word_tokens(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity, zlib.crc32
-        for pdf in batches:
-            out = []
-            for doc_id, row, text in zip(pdf["doc_id"].array, pdf["row"].array, pdf["text"].array):
-                ids = of.ids(text) + end
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                for k, at in enumerate(range(0, len(ids), step)):
-                    cut = ids[at : at + step]
-                    out.append((doc_id, row, k, at // 4, len(cut) // 4, crc(cut), cut)[: 6 + with_ids])
-            yield pd.DataFrame(out, columns=schema_names).astype({"doc_id": "Int64"})
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, end, step, crc = word_tokens(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity, zlib.crc32
+        for batch in batches:
+            texts, doc_ids, rows = batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
+            for start, n in groups_of(texts):
+                out = []
+                for k, ids in enumerate(known.of(texts.slice(start, n)), start):
+                    ids += end
+                    for j, at in enumerate(range(0, len(ids), step)):
+                        cut = ids[at : at + step]
+                        out.append((doc_ids[k], rows[k], j, at // 4, len(cut) // 4, crc(cut), cut)[: 6 + with_ids])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], schema_names)
+
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
     schema_names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_of().alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_of().alias("text")).mapInArrow(run, schema)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

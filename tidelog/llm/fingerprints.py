@@ -18,6 +18,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,22 +30,37 @@ RANGE_ROWS, MAX_RANGES = 2_000, 10_000
 _LEAST = -(1 << 63)
 
 
-def samples(term: Column, weight_logs: list[Column], draws: int = SAMPLES) -> list[list[Column]]:
-    """For each weight, the draws of a term as longs: value in the high half, sample id in the low; the least wins."""
-    bits = lambda h, at, n: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << n) - 1)) + F.lit(0.5)) * F.lit(2.0**-n)
-    out: list[list[Column]] = [[] for _ in weight_logs]
+def gamma_logs(steps: int = 512) -> np.ndarray:
+    """ln of Gamma(2, 1) at the middles of equal shares: the roots of 1 - (1 + x) e^-x = u, by bisection.
+
+    A small ln a needs a large r, not a small c, so steps do for c; r is drawn exactly.
+    """
+    u = (np.arange(steps) + 0.5) / steps
+    lo, hi = np.zeros(steps), np.full(steps, 40.0)
+    for _ in range(60):
+        x = (lo + hi) / 2
+        low = 1 - (1 + x) * np.exp(-x) < u
+        lo, hi = np.where(low, x, lo), np.where(low, hi, x)
+    return np.log((lo + hi) / 2)
+
+
+def samples(term: Column, weight_log: Column, draws: int = SAMPLES) -> list[Column]:
+    """The draws of a weighted term as longs: value in the high half, sample id in the low; the least wins."""
+    logs = gamma_logs()
+    table = F.split(F.lit(",".join(f"{v:.9g}" for v in logs)), ",").cast("array<double>")
+    low = lambda h, n: h.bitwiseAND(F.lit((1 << n) - 1))
+    out = []
     for k in range(draws):
         h = F.xxhash64(term, F.lit(k))
         g = F.xxhash64(h)
         # Gamma(2, 1) is the sum of two exponential variates.
-        r = -F.ln(bits(h, 0, 32) * bits(h, 32, 32))
-        c = F.ln(-F.ln(bits(g, 0, 22) * bits(g, 22, 22)))
-        b = bits(g, 44, 20)
-        for got, log in zip(out, weight_logs):
-            t = F.floor(log / r + b)
-            value = F.floor((c - r * (t - b + 1) + 64) * F.lit(float(1 << 24)))
-            sample = term.bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFFFF))
-            got.append(F.shiftleft(value, 32).bitwiseOR(sample))
+        r = -F.ln((low(h, 32) + F.lit(0.5)) * (F.shiftrightunsigned(h, 32) + F.lit(0.5)) * F.lit(2.0**-64))
+        c = F.get(table, low(g, 9).cast("int"))
+        b = F.shiftrightunsigned(g, 9) * F.lit(2.0**-55)
+        t = F.floor(weight_log / r + b)
+        value = F.floor((c - r * (t - b + 1) + 64) * F.lit(float(1 << 24)))
+        sample = low(term.bitwiseXOR(t * F.lit(0x9E3779B1)), 32)
+        out.append(F.shiftleft(value, 32).bitwiseOR(sample))
     return out
 
 
@@ -112,12 +128,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     words = forms.select("range", "place", F.col("p.w").alias("w"), F.col("p.e").alias("e"), F.explode(F.split(F.lower("p.text"), r"[\x20\x09-\x0D]+")).alias("word"))
     words = words.where("word != '' or (w = 0 and e = 0)")
     terms = words.groupBy("range", "place", F.xxhash64("word").alias("term")).agg(F.sum("w").alias("w"), F.sum("e").alias("e"))
-    # ln of a weight of 0 is null, and so are its samples, which no least value takes up.
-    terms = terms.select("range", "place", "term", F.ln(F.when(F.col("w") > 0, F.col("w"))).alias("lw"), F.ln(F.when(F.col("e") > 0, F.col("e"))).alias("le"))
-    own, edited = samples(F.col("term"), [F.col("lw"), F.col("le")])
-    least = terms.groupBy("range", "place").agg(*[F.min(x).alias(f"s{k}") for k, x in enumerate(own)], *[F.min(x).alias(f"e{k}") for k, x in enumerate(edited)])
-    low = lambda p: F.when(F.col(f"{p}0").isNotNull(), F.array(*[F.col(f"{p}{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(SAMPLES)]))
-    signed = least.select("range", "place", low("s").alias("own"), low("e").alias("edited"))
+    # A term of the same weight in both forms is drawn once, for both; a row of no weight has null draws.
+    use = lambda weight, own, edited: F.struct(weight.alias("weight"), F.lit(own).alias("own"), F.lit(edited).alias("edited"))
+    uses = F.when(F.col("w") == F.col("e"), F.array(use(F.col("w"), True, True))).when(F.col("e") == 0, F.array(use(F.col("w"), True, False))).when(F.col("w") == 0, F.array(use(F.col("e"), False, True)))
+    uses = uses.otherwise(F.array(use(F.col("w"), True, False), use(F.col("e"), False, True)))
+    drawn = terms.select("range", "place", "term", F.explode(uses).alias("u")).select("range", "place", "term", "u.own", "u.edited", F.ln(F.when(F.col("u.weight") > 0, F.col("u.weight"))).alias("log"))
+    least = drawn.groupBy("range", "place", "own", "edited").agg(*[F.min(x).alias(f"d{k}") for k, x in enumerate(samples(F.col("term"), F.col("log")))])
+    draws = F.array(*[F.col(f"d{k}") for k in range(SAMPLES)])
+    forms_of = least.select("range", "place", "own", "edited", F.when(F.col("d0").isNotNull(), draws).alias("d"))
+    part_of = lambda own, edited: F.max(F.when((F.col("own") == own) & (F.col("edited") == edited), F.col("d")))
+    joint = forms_of.groupBy("range", "place").agg(part_of(True, True).alias("both"), part_of(True, False).alias("only"), part_of(False, True).alias("new"))
+    merged = lambda x: F.coalesce(F.zip_with("both", x, lambda p, q: F.least(p, q)), F.col("both"), F.col(x))
+    ids = lambda x: F.transform(x, lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF)))
+    signed = joint.select("range", "place", ids(merged("only")).alias("own"), ids(merged("new")).alias("edited"))
     near = signed.withColumn("following", F.lead("own").over(Window.partitionBy("range").orderBy("place")))
     near = near.select("range", "place", _text("own").alias("fingerprint"), _text("edited").alias("edited_fingerprint"), _likeness("own", "edited").alias("near_edited"), _likeness("own", "following").alias("near_next"))
     return info.join(near, ["range", "place"]).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -26,6 +26,7 @@ extra columns are ignored. Very long texts are whole sets; ties in distance go t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,9 +42,7 @@ from .common import components, only_ids, parts, saved
 REGION_SHINGLES = 4_000_000
 #: Pivots of a region that is split before the in-memory step.
 SPLIT_PIVOTS = 16
-#: Empty ranges that a set may have in a segment draw before it joins the next draw.
-SPARE = 1
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -93,24 +92,35 @@ class Classes:
         # The smallest set that can link with a different one: |x| / (|x| + 1) >= t.
         self.least = max(1, -(-num // max(1, den - num)))
         self.starts = [self.least]
+        self.known: dict[int, tuple[int, int]] = {}
 
     def of(self, size: int) -> int:
         while self.starts[-1] <= size:
             self.starts.append(self.starts[-1] * self.den // self.num + 1)
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
-    def ranges(self, j: int) -> int:
-        """Ranges for pairs whose larger set is in class j: the most they can differ in, one more, and the spare."""
-        while len(self.starts) <= j + 1:
-            self.of(self.starts[-1])
-        top = self.starts[j + 1] - 1
-        return 2 * top * (self.den - self.num) // (self.den + self.num) + 1 + SPARE
+    def ranges(self, j: int) -> tuple[int, int]:
+        """(ranges, spare) for pairs whose larger set is in class j: the most they can differ in, one more, and the spare.
+
+        The spare is what a set of the next smaller class has in empty ranges, hardly ever more.
+        """
+        if j not in self.known:
+            while len(self.starts) <= j + 1:
+                self.of(self.starts[-1])
+            differ = 2 * (self.starts[j + 1] - 1) * (self.den - self.num) // (self.den + self.num)
+            spare = 1
+            for _ in range(30):
+                b = differ + 1 + spare
+                empty = b * math.exp(-self.starts[max(0, j - 1)] / b)
+                spare = math.ceil(empty + 3 * math.sqrt(empty) + 1)
+            self.known[j] = (differ + 1 + spare, spare)
+        return self.known[j]
 
 
 def segments(s: np.ndarray, classes: Classes) -> np.ndarray:
     """Hashes of the ranges of s, for its own size class and the next.
 
-    A draw with more than SPARE empty ranges could hide a pair behind them; then the set also joins
+    A draw with more empty ranges than the spare could hide a pair behind them; then the set also joins
     the next draw, whose ranges are those of rehashed shingles. The set of a pair that stops first has
     a draw in which one equal range, at least, holds shingles; the other set is in that draw too.
     """
@@ -119,7 +129,7 @@ def segments(s: np.ndarray, classes: Classes) -> np.ndarray:
     out = []
     j0 = classes.of(len(s))
     for j in (j0, j0 + 1):
-        b, x, draw = classes.ranges(j), s, 0
+        (b, spare), x, draw = classes.ranges(j), s, 0
         while True:
             edges = (np.arange(1, b, dtype=np.float64) * (2.0**64 / b)).astype(np.uint64)
             cut = np.concatenate(([0], np.searchsorted(x, edges), [len(x)]))
@@ -128,7 +138,7 @@ def segments(s: np.ndarray, classes: Classes) -> np.ndarray:
             sums = total[cut[1:]] - total[cut[:-1]]
             tag = _mix(np.arange(b, dtype=np.uint64) + np.uint64((j << 40) + (draw << 32)) + _M1)
             out.append(_mix((sums ^ tag) * _M1 + n)[n > 0])
-            if int((n == 0).sum()) <= SPARE or draw == 255:
+            if int((n == 0).sum()) <= spare:
                 break
             draw += 1
             x = np.sort(_mix(s * _M3 + np.uint64(draw)))

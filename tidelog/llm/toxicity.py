@@ -131,7 +131,7 @@ class Lexicon(dict):
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         got = self[word] = 1 if self.look(word)[0] in (INSULT, THREAT) else 0
         return got

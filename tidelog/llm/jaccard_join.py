@@ -6,7 +6,8 @@ Documents are sets of hashed word shingles; Jaccard distance 1 - J is a metric.
    where triangle windows exclude nothing, so documents with no possible partner are set apart
    first: sets of sizes a and b link only if they differ in at most (a + b)(1 - t)/(1 + t)
    shingles; cut the hash space in more ranges than that and some range must be equal in both.
-   Equal ranges meet in a shuffle, and a region is a connected component of such meetings.
+   Equal ranges meet in a shuffle, and a region is a connected component of such meetings; ranges of
+   one or two shingles, which a common line fills, are cells of their own where they span regions.
 2. Voronoi regions. A region beyond ``REGION_SHINGLES`` gets pivots; a document goes to the cell of
    its nearest pivot and is copied to the cell of each pivot q with d(x, q) <= d(x, p) + 2 eps, so by
    the triangle inequality every linked pair meets in one cell. Cells still too large are dealt
@@ -36,10 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, only_ids, parts, saved
+from .common import BROADCAST_IDS, components, only_ids, parts, release, saved
 
 #: Shingles (8 bytes each) that one in-memory cell may hold.
 REGION_SHINGLES = 4_000_000
+#: Shingles from which an equal range joins its documents to one region. Smaller ranges, often one common
+#: line, would chain all regions together; each of them is a cell of its own.
+STRONG = 3
 #: Pivots of a region that is split before the in-memory step.
 SPLIT_PIVOTS = 16
 CACHE_WORDS = 150_000
@@ -118,7 +122,7 @@ class Classes:
 
 
 def segments(s: np.ndarray, classes: Classes) -> np.ndarray:
-    """Hashes of the ranges of s, for its own size class and the next.
+    """Hashes of the ranges of s, for its own size class and the next; odd for ranges of less than STRONG shingles.
 
     A draw with more empty ranges than the spare could hide a pair behind them; then the set also joins
     the next draw, whose ranges are those of rehashed shingles. The set of a pair that stops first has
@@ -137,7 +141,8 @@ def segments(s: np.ndarray, classes: Classes) -> np.ndarray:
             n = np.diff(cut).astype(np.uint64)
             sums = total[cut[1:]] - total[cut[:-1]]
             tag = _mix(np.arange(b, dtype=np.uint64) + np.uint64((j << 40) + (draw << 32)) + _M1)
-            out.append(_mix((sums ^ tag) * _M1 + n)[n > 0])
+            sig = _mix((sums ^ tag) * _M1 + n)
+            out.append(np.where(n < STRONG, sig | np.uint64(1), sig & ~np.uint64(1))[n > 0])
             if int((n == 0).sum()) <= spare:
                 break
             draw += 1
@@ -341,7 +346,7 @@ def _join_cells(num: int, den: int):
 # ---- large regions --------------------------------------------------------------------------
 
 
-def _voronoi(pivots: dict[int, list[bytes]], eps: float):
+def _voronoi(pivots: dict[str, list[bytes]], eps: float):
     """Cells of each document of a large region: its nearest pivot's, and those within the window."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -351,7 +356,7 @@ def _voronoi(pivots: dict[int, list[bytes]], eps: float):
             for k, (r, s) in enumerate(zip(pdf["region"].array, pdf["shingles"].array)):
                 x = np.frombuffer(s, np.uint64)
                 d = []
-                for p in sets[int(r)]:
+                for p in sets[r]:
                     both = len(np.intersect1d(x, p, assume_unique=True))
                     d.append(1 - both / (len(x) + len(p) - both))
                 for q in np.flatnonzero(np.array(d) <= min(d) + 2 * eps):
@@ -363,29 +368,30 @@ def _voronoi(pivots: dict[int, list[bytes]], eps: float):
     return run
 
 
-def cells_of(sets: DataFrame, eps: float, limit: int) -> DataFrame:
-    """(cell, doc_id, shingles) for sets (region, doc_id, n, shingles): every linked pair of a region meets in a cell of bounded size."""
+def cells_of(placed: DataFrame, body: DataFrame, eps: float, limit: int, count: int) -> DataFrame:
+    """(cell, doc_id, shingles) for placed (region, doc_id, digest, n): every linked pair of a region meets in a cell of bounded size."""
     schema = "cell string, doc_id long, n long, shingles binary"
-    weight = saved(sets.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > limit), "large")
+    key, out = ["doc_id", "digest"], ["cell", "doc_id", "n", "shingles"]
+    with_sets = lambda rows: body.drop("n").join(F.broadcast(rows) if count <= BROADCAST_IDS else rows, key)
+    weight = saved(placed.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > limit), "large")
     n_large = weight.count()
-    plain = sets.select(F.col("region").cast("string").alias("cell"), "doc_id", "n", "shingles")
     if not n_large:
-        return plain.drop("n")
-    big = sets.join(weight, "region")
-    small = sets.join(weight, "region", "left_anti").select(F.col("region").cast("string").alias("cell"), "doc_id", "n", "shingles")
+        return with_sets(placed).select(F.col("region").alias("cell"), "doc_id", "shingles")
+    small = with_sets(placed.join(weight, "region", "left_anti")).select(F.col("region").alias("cell"), "doc_id", "n", "shingles")
+    big = with_sets(placed.join(weight.select("region"), "region"))
     # Pivots: in each large region the sets with the least hashes, each a min of its own salt.
     pick = [F.min_by("shingles", F.xxhash64("doc_id", F.lit(k))).alias(f"p{k}") for k in range(SPLIT_PIVOTS)]
     if n_large <= 64:
         pivots = {r[0]: list(dict.fromkeys(bytes(x) for x in r[1:])) for r in big.groupBy("region").agg(*pick).collect()}
-        dealt = saved(big.drop("total").select("region", "doc_id", "n", "shingles").mapInPandas(_voronoi(pivots, eps), schema), "cells")
+        dealt = saved(big.select("region", "doc_id", "n", "shingles").mapInPandas(_voronoi(pivots, eps), schema), "cells")
     else:  # more large regions than a driver should hold pivots for: blocks alone
-        dealt = big.select(F.col("region").cast("string").alias("cell"), "doc_id", "n", "shingles")
+        dealt = big.select(F.col("region").alias("cell"), "doc_id", "n", "shingles")
     heavy = saved(dealt.groupBy("cell").agg(F.sum("n").alias("total")).where(F.col("total") > limit).withColumn("blocks", F.ceil(F.col("total") * 2 / limit).cast("int")), "heavy")
     fine = dealt.join(heavy, "cell", "left_anti")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     blocks = dealt.join(heavy, "cell").withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.select(F.concat_ws("/", "cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "doc_id", "n", "shingles")
-    return small.unionByName(fine.select(small.columns)).unionByName(blocks).drop("n")
+    return small.unionByName(fine.select(out)).unionByName(blocks).drop("n")
 
 
 def linked(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, limit: int = REGION_SHINGLES) -> tuple[DataFrame, DataFrame]:
@@ -398,10 +404,20 @@ def linked(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, limit: int
     sent = docs.select("text").mapInPandas(_emit_segments(n, num, den), "sig long, node long").where("sig is not null and node is not null").repartition(shuffle, "sig")
     # Both sides use the one exchange by sig; only (sig, least node) of ranges that meet is joined.
     met = sent.groupBy("sig").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m < x").select("sig", "m")
-    stars = sent.hint("merge").join(met, "sig").where("node > m").select(F.col("m").alias("a"), F.col("node").alias("b")).distinct()
-    regions = saved(components(saved(stars, "stars"), "regions"), "region")
+    both = saved(sent.hint("merge").join(met, "sig").select("sig", "node", "m").distinct(), "meetings")
+    del sent, met
+    release(spark)
+    strong = F.col("sig").bitwiseAND(F.lit(1)) == 0
+    stars = both.where(strong & (F.col("node") > F.col("m"))).select(F.col("m").alias("a"), F.col("node").alias("b")).distinct()
+    regions = saved(components(stars, "regions"), "region")
+    # Small ranges: only those that meet across regions can show a pair that no region holds.
+    weak = both.where(~strong).select("sig", "node").join(regions, "node", "left").withColumn("region", F.coalesce("component", "node"))
+    across = weak.groupBy("sig").agg(F.min("region").alias("r0"), F.max("region").alias("r1")).where("r0 < r1").select("sig")
+    places = regions.select("node", F.col("component").alias("region"), F.lit(0).alias("kind")).unionByName(weak.join(across, "sig").select("node", F.col("sig").alias("region"), F.lit(1).alias("kind")))
     reps = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-    wanted = saved(reps.withColumn("node", _low64(F.col("digest"))).join(regions, "node").select("doc_id", F.col("component").alias("region"), "digest"), "wanted")
+    # A cell by name: regions by a node, small ranges by their hash, which is odd.
+    name = F.concat(F.when(F.col("kind") == 0, F.lit("r")).otherwise(F.lit("w")), F.col("region").cast("string"))
+    wanted = saved(reps.withColumn("node", _low64(F.col("digest"))).join(places, "node").select("doc_id", name.alias("region"), "digest"), "wanted")
     count = wanted.count()
     if not count:
         return sets, spark.createDataFrame([], "a long, b long")
@@ -411,10 +427,12 @@ def linked(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, limit: int
             s = [shingles(t, n) for t in pdf["text"].array]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": [digest(x) for x in s], "n": [len(x) for x in s], "shingles": [x.tobytes() for x in s]})
 
-    body = only_ids(docs, wanted.select("doc_id").distinct(), True, count).mapInPandas(bodies, "doc_id long, digest binary, n long, shingles binary")
-    body = body.join(F.broadcast(wanted) if count <= 1_000_000 else wanted, ["doc_id", "digest"]).select("region", "doc_id", "n", "shingles")
+    ids = wanted.select("doc_id").distinct()
+    body = only_ids(docs, ids, True, count).mapInPandas(bodies, "doc_id long, digest binary, n long, shingles binary")
     body = saved(body, "bodies")
-    cells = cells_of(body, 1 - num / den, limit)
+    # Sets are kept once; each cell's copies are made on the way to the exchange that deals out cells.
+    placed = wanted.join(saved(body.select("doc_id", "digest", "n"), "sizes"), ["doc_id", "digest"])
+    cells = cells_of(placed, body, 1 - num / den, limit, count)
     width = max(shuffle, parts(count, 20_000))
     links = cells.repartition(width, "cell").sortWithinPartitions("cell").mapInPandas(_join_cells(num, den), "a long, b long")
     return sets, saved(links, "links")

@@ -167,6 +167,23 @@ def test_interest_and_retention(spark):
     assert C.leading_run(chunks.withColumn("last_write_ms", F.when(F.col("seq") == 2, 999).otherwise(F.col("last_write_ms"))), 60).count() == 2
 
 
+def test_resume_of_all_cursors(spark, sf):
+    from tidelog.plans import catalog
+
+    e = [("s" if k % 3 else "t", k // 7, k, f"x{k}") for k in range(400)]
+    c = [(f"c{k}", "st"[k % 2], k % 61 - 1, k % 5) for k in range(90)]
+    got = standing.resume(spark.createDataFrame(e, "store_id string, chunk_seq long, entry_no long, text string"), spark.createDataFrame(c, "consumer string, store_id string, seq long, n long"))
+    want = []
+    for consumer, store, seq, n in c:
+        mine = [x for x in e if x[0] == store]
+        first = [x[2] for x in mine if x[1] == seq][:n]
+        want += [(consumer, *x) for x in mine if x[1] >= seq and x[2] not in first]
+    assert sorted(tuple(r) for r in got.select("consumer", "store_id", "chunk_seq", "entry_no", "text").collect()) == sorted(want)
+    # The query leaves out no consumer that has something to read.
+    behind = catalog._cursors(spark, sf).join(catalog.vital_signs(spark, sf), "store_id").where("last_seq > seq").select("consumer")
+    assert behind.count() > 4 and behind.join(catalog.resume_all(spark, sf), "consumer", "left_anti").count() == 0
+
+
 def test_times():
     assert times.parse_time("2026-06-03T16:00:00+02:00") == times.parse_time("2026-06-03 14:00") == times.parse_time("1780495200") == times.parse_time("1780495200000")
     assert times.parse_time("2026.06.03") == times.parse_time("2026-06-03T00:00:00Z") and times.parse_duration("1.5h") == 5_400_000 and times.parse_duration("90") == 90_000

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.times import human_duration
 
+#: Chunks to a block where consumers meet entries.
+BLOCK = 16
+
 
 def vital_signs(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("store_id").agg(
@@ -86,13 +89,19 @@ def held_bytes(standings: DataFrame) -> DataFrame:
     return standings.groupBy("store_id").agg(F.when(F.count_if("holds_all") > 0, F.lit(None).cast("long")).otherwise(F.max("behind_bytes")).alias("held"))
 
 
-def resume(entries: DataFrame, cursors: DataFrame) -> DataFrame:
-    """Entries after each consumer's position: later chunks, and of its chunk all but the first n."""
+def resume(entries: DataFrame, cursors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Entries after each consumer's position: later chunks, and of its chunk all but the first n.
+
+    An entry's place in its chunk is the same for all consumers and is found once. Consumers meet entries
+    by store and block of chunks, so that many consumers of one store spread over many tasks.
+    """
+    place = Window.partitionBy("store_id", "chunk_seq").orderBy("entry_no")
+    e = entries.withColumn("__k", F.row_number().over(place)).withColumn("__block", F.floor(F.col("chunk_seq") / block))
     at = cursors.select("consumer", "store_id", F.col("seq").alias("__seq"), "n")
-    place = Window.partitionBy("consumer", "store_id", "chunk_seq").orderBy("entry_no")
-    both = entries.join(at, "store_id").where(F.col("chunk_seq") >= F.col("__seq"))
-    both = both.withColumn("__k", F.row_number().over(place))
-    return both.where((F.col("chunk_seq") > F.col("__seq")) | (F.col("__k") > F.col("n"))).drop("__seq", "__k", "n")
+    at = at.join(e.select("store_id", "__block").distinct(), "store_id").where(F.col("__block") >= F.floor(F.col("__seq") / block))
+    both = e.join(at, ["store_id", "__block"])
+    after = (F.col("chunk_seq") > F.col("__seq")) | ((F.col("chunk_seq") == F.col("__seq")) & (F.col("__k") > F.col("n")))
+    return both.where(after).drop("__seq", "__k", "__block", "n")
 
 
 def folded(delivered: DataFrame) -> DataFrame:

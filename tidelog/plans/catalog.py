@@ -554,6 +554,12 @@ def resume_skip(spark, d):
     return standing.resume(_entries(spark, d), few).select("consumer", "store_id", "entry_no")
 
 
+@query(_CU, "SELECT consumer, store_id, entry_no FROM (SELECT cu.consumer, en.store_id, en.entry_no, en.chunk_seq, cu.seq, cu.n, row_number() OVER (PARTITION BY consumer, chunk_seq ORDER BY entry_no) AS k FROM en JOIN cu ON en.store_id = cu.store_id WHERE chunk_seq >= seq) WHERE chunk_seq > seq OR k > n")
+def resume_all(spark, d):
+    """resume_skip over every cursor; the result grows with consumers times entries."""
+    return standing.resume(_entries(spark, d), _cursors(spark, d)).select("consumer", "store_id", "entry_no")
+
+
 @query(_EN, "SELECT consumer, store_id, arg_max(n, chunk_seq) AS n, max(chunk_seq) AS seq, arg_max(wl, chunk_seq) AS wl, CAST(sum(n) AS BIGINT) AS delivered FROM (SELECT 'c' || entry_no % 3 AS consumer, store_id, chunk_seq, count(*) AS n, max(wl_ms) AS wl FROM en GROUP BY ALL) GROUP BY 1, 2")
 def cursor_fold(spark, d):
     return standing.folded(_entries(spark, d).withColumn("consumer", F.concat(F.lit("c"), F.col("entry_no") % 3)))

@@ -34,6 +34,20 @@ def test_blocks():
     assert text("<div>" * 3000 + "deep") == ["deep"]
 
 
+def test_elements_left_out_do_not_take_the_rest_along():
+    text = lambda p: [b.text for b in html_text.blocks_of(p)]
+    assert text("<p>a<svg width='1'/>b</p><p>c<math/>d</p><svg><text>no</text></svg>e") == ["ab", "cd", "e"]
+    assert text("<svg class=x/><text>no</text></svg>b") == ["b"]
+    for tag in ("svg", "math", "iframe", "object", "noscript", "select", "textarea", "template", "title"):
+        assert "".join(text(f"<p>a</p><{tag}><p>b</p><p>c</p>")) == "abc", tag
+    assert text("<html><head><meta charset=x><title>t</title><script>1</script><p>a</p><p>b</p>") == ["a", "b"]
+    assert text("<head><link rel=x><!-- c -->plain <b>text</b>") == ["plain text"] and text("<head><title>t</title></head><p>a") == ["a"] and text("<head><title>t</title><body>a") == ["a"]
+    assert text("<head><noscript><style>x</style></noscript><title>t") == ["t"] and text("<head><script>x") == [] and text("<head>") == []
+    assert text("<article><p>Let <math><mi>x</mi></math> be</p><object><p>b</p></object><noscript>c</noscript><p>d</article>") == ["Let x be", "b", "c", "d"]
+    page = "<head><title>t</title></head><body><nav><a href='/'>Home</a></nav><article><h1>On the tide</h1><p>The <svg viewBox='0 0 1 1'/>first paragraph of the page has a fair number of words in it.</p><p>And <math><mi>x</mi></math> comes second, as a sentence of its own here.</p></article>"
+    assert html_text.main_blocks(page, html_text.trained()) == ["On the tide", "The first paragraph of the page has a fair number of words in it.", "And x comes second, as a sentence of its own here."]
+
+
 def test_pages(spark, sf, odd_dir, empty_dir):
     got = queries.op8_html_main_text(spark, sf).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}

@@ -5,11 +5,14 @@ open ancestors. Features of a block are its ancestor tags, words of their class,
 attributes, and its text; the chain's two labels are main text and the rest, decoded by Viterbi. The
 model is trained here, on pages labelled as they are made by rule (``training_pages``).
 
-Scripts, styles and comments are never text. Character references are decoded, white space inside
-a block becomes one space, blocks are joined by a line feed.
+Scripts, styles and comments are never text, nor are the head, templates, iframes, form fields (select,
+textarea) and svg drawings. Text of math, object and noscript is blocks like any other. Character
+references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
 
 Defined results: null or empty html, and pages without main text, give an empty text; html that
-ends inside a tag or an element is read up to its end; text without tags is one block; repeated rows
+ends inside a tag or an element is read up to its end, but for a script, style or comment, which drop
+what follows as they hold it; an element left out whose end tag is missing leaves out its start tag
+alone; a head without end tag ends at the first tag of a body; text without tags is one block; repeated rows
 are read again; an empty table gives an empty result; extra columns are ignored. Pages of any length
 are read whole; nesting beyond 400 open elements closes the oldest.
 """
@@ -29,15 +32,21 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(?P<broken>/?[a-zA-Z][^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A '/' that belongs to a value without quotes.
+_UNQUOTED = re.compile(r"""=\s*[^\s"'=]+/\Z""")
 _SPACE = re.compile(r"\s+")
 
 # Element kinds of HTML.
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "iframe", "legend", "li", "main", "menu", "nav",
-    "ol", "optgroup", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "textarea", "tfoot", "th", "thead", "title", "tr", "ul", "video", "audio", "object",
+    "ol", "optgroup", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "textarea", "tfoot", "th", "thead", "title", "tr", "ul", "video", "audio",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "head", "title"}
+RAW = {"script", "style", "template", "svg", "iframe", "textarea", "select", "head", "title"}
+#: Raw elements that hold the rest of the page where their end tag is missing, those of foreign content, which '/>' ends, and tags that an open head may hold.
+TO_END, FOREIGN, IN_HEAD = {"script", "style"}, {"svg", "math"}, {"base", "link", "meta", "title", "script", "style", "template", "noscript", "object"}
+#: Elements whose text is blocks of its own but that do not end a paragraph.
+APART = {"noscript", "object"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Start tags that close an open element of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -73,6 +82,30 @@ def _attr_words(attrs: str) -> frozenset[str]:
     return frozenset(found)
 
 
+_CLOSE = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW | APART}
+
+
+def _head_end(page: str, at: int, missing: set[str]) -> int:
+    """Where a head that opens before at ends: past its end tag, or before the first text or tag that none holds."""
+    while True:
+        m = _TOKEN.search(page, at)
+        if page[at : m.start() if m else len(page)].strip():
+            return at
+        if not m:
+            return len(page)
+        tag = (m["tag"] or "").lower()
+        if m["end"] and tag == "head":
+            return m.end()
+        if m["cdata"] is not None or m["broken"] or tag and not m["end"] and tag not in IN_HEAD:
+            return m.start()
+        at = m.end()
+        if tag in _CLOSE and not m["end"] and tag not in missing:
+            close = _CLOSE[tag].search(page, at)
+            if not close:
+                missing.add(tag)
+            at = close.end() if close else len(page) if tag in TO_END else at
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks of a page, in order; text of raw elements is left out."""
     page = page or ""
@@ -81,6 +114,8 @@ def blocks_of(page: str | None) -> list[Block]:
     buf: list[str] = []
     linked = at = 0
     in_link = False
+    #: Raw elements without an end tag in the rest of the page; it is not searched again.
+    missing: set[str] = set()
 
     def flush():
         nonlocal linked
@@ -111,7 +146,7 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         tag, closing = tag.lower(), bool(m["end"]) or bool(m["broken"] and m["broken"][0] == "/")
         if closing:
-            if tag in BLOCKS:
+            if tag in BLOCKS or tag in APART:
                 flush()
             # An end tag closes what is open inside its element; without one it is ignored.
             if any(t == tag for t, _ in stack):
@@ -119,12 +154,23 @@ def blocks_of(page: str | None) -> list[Block]:
                     pass
                 in_link = any(t == "a" for t, _ in stack)
             continue
+        attrs = m["attrs"] or ""
+        if tag in FOREIGN and attrs.endswith("/") and not _UNQUOTED.search(attrs):
+            continue
+        if tag in APART:
+            flush()
         if tag in RAW:
             flush()
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if tag == "head" and not close:
-                close = re.compile(r"(?=<body\b)", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            if tag == "head":
+                at = _head_end(page, at, missing)
+                continue
+            close = _CLOSE[tag].search(page, at) if tag not in missing else None
+            if close:
+                at = close.end()
+            elif tag in TO_END:
+                at = len(page)
+            else:
+                missing.add(tag)
             continue
         if tag == "br":
             add(" ")
@@ -140,8 +186,8 @@ def blocks_of(page: str | None) -> list[Block]:
                 while stack and stack[-1][0] in CLOSES[tag] | {"a", "b", "i", "span", "em", "strong"} and any(x in CLOSES[tag] for x, _ in stack[-3:]) and t == tag:
                     stack.pop()
             in_link = any(t == "a" for t, _ in stack)
-        if tag not in VOID and not (m["attrs"] or "").endswith("/"):
-            stack.append((tag, _attr_words(m["attrs"]) if m["attrs"] else frozenset()))
+        if tag not in VOID and not attrs.endswith("/"):
+            stack.append((tag, _attr_words(attrs) if attrs else frozenset()))
             if len(stack) > 400:
                 del stack[0]
             in_link = in_link or tag == "a"

@@ -149,6 +149,23 @@ def test_overlap_dedup_keeps_order_and_counts(spark):
     assert [r["store_id"] for r in ingest.refused(src, late).collect()] == ["s"] and ingest.refused(src, held).count() == 0
 
 
+def test_overlap_begins_at_the_source(spark, tmp_path):
+    held = spark.createDataFrame([("s", "beat", 1, 0), ("s", "a", 2, 0), ("s", "b", 5, 1), ("s", "c", 7, 1), ("s", "d", 9, 2), ("t", "beat", 1, 0)], "store_id string, line string, eff_ms long, chunk_seq long")
+    chunks = held.groupBy("store_id", F.col("chunk_seq").alias("seq")).agg(F.max("eff_ms").alias("last_write_ms"))
+    src = spark.createDataFrame([("s", 0, "c", 7), ("s", 1, "beat", 7), ("s", 2, "b", 8), ("s", 3, "d", 9), ("s", 4, "beat", 9), ("t", 0, "beat", 1)], "store_id string, pos long, line string, eff_ms long")
+    # The chunk that the source starts in counts whole, those before it not at all.
+    assert [(r["store_id"], r["pos"]) for r in ingest.overlap_dedup(src, held, chunks).orderBy("store_id", "pos").collect()] == [("s", 1), ("s", 4)]
+    df = lambda rows: spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "pos long, line string")
+    at = lambda k: f"2026-06-03T14:{k // 60:02d}:{k % 60:02d} INFO event number {k}"
+    s = Store.create(spark, str(tmp_path / "o"))
+    assert s.ingest(df([at(0), "  at main", *[at(k) for k in range(1, 600)]]), 2048) == 600
+    s.ingest(df([at(500), "  at main", *[at(k) for k in range(501, 600)]]), 2048)
+    kept = sum(r["text"].split("\n").count("  at main") for r in s.entries().collect())
+    assert kept == 2, "a trace line equal to one stored long before is new"
+    with pytest.raises(ValueError, match="before everything"):
+        s.ingest(df(["2026-06-03T13:59:59 INFO early"]))
+
+
 def test_interest_and_retention(spark):
     chunks = spark.createDataFrame([("s", k, 100, 100, k * 10, k * 10 + 5) for k in range(10)], "store_id string, seq long, uncomp_len long, comp_len long, first_write_ms long, last_write_ms long")
     stores = spark.createDataFrame([("s", 10)], "store_id string, next_seq long")

@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlap_dedup(source: DataFrame, stored: DataFrame) -> DataFrame:
-    """Lines of source that stored does not hold: a bag difference in order.
+def overlap_dedup(source: DataFrame, stored: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """Lines of source that the overlap with stored does not hold: a bag difference in order.
 
-    source has (store_id, pos, line, eff_ms), stored (store_id, line, eff_ms). As many copies of a line as
-    stored holds are dropped, first ones first, until eff_ms passes the store's end.
+    source has (store_id, pos, line, eff_ms), stored (store_id, line, eff_ms). The overlap is what is stored
+    from the first chunk on whose last_write_ms reaches the source's first stamp; with chunks
+    (store_id, seq, last_write_ms), stored has chunk_seq too, without them it is one chunk per store. As many
+    copies of a line as the overlap holds are dropped, first ones first, until eff_ms passes the store's end.
     """
     ends = stored.groupBy("store_id").agg(F.max("eff_ms").alias("__end"))
-    held = stored.groupBy("store_id", "line").agg(F.count("*").alias("__held"))
+    overlap = stored
+    if chunks is not None:
+        starts = source.groupBy("store_id").agg(F.min_by("eff_ms", F.when(F.col("eff_ms").isNotNull(), F.col("pos"))).alias("__start"))
+        first = chunks.join(starts, "store_id").where(F.col("last_write_ms") >= F.col("__start")).groupBy("store_id").agg(F.min("seq").alias("__first"))
+        overlap = stored.join(first, "store_id").where(F.col("chunk_seq") >= F.col("__first"))
+    held = overlap.groupBy("store_id", "line").agg(F.count("*").alias("__held"))
     copies = Window.partitionBy("store_id", "line").orderBy("pos")
     numbered = source.withColumn("__copy", F.row_number().over(copies))
     out = numbered.join(held, ["store_id", "line"], "left").join(ends, "store_id", "left")

@@ -440,8 +440,10 @@ _BAG = _EV + ", src AS (SELECT store_id, line_no AS pos, event_type || ' ' || us
 @query(_BAG, "SELECT s.store_id, s.pos, s.line, s.eff_ms FROM (SELECT *, row_number() OVER (PARTITION BY store_id, line ORDER BY pos) AS k FROM src) s LEFT JOIN (SELECT store_id, line, count(*) AS c FROM held GROUP BY 1, 2) h USING (store_id, line) LEFT JOIN (SELECT store_id, max(eff_ms) AS e FROM held GROUP BY 1) m USING (store_id) WHERE coalesce(k > coalesce(c, 0) OR s.eff_ms > e, TRUE)")
 def overlap_dedup(spark, d):
     b = evlog.rendered(_events(spark, d))
-    src = b.select("store_id", F.col("line_no").alias("pos"), F.concat_ws(" ", "event_type", F.col("user_id") % 40).alias("line"), F.col("ts_ms").alias("eff_ms"))
-    return ingest.overlap_dedup(src, src.where((F.col("pos") % 3 == 0) & (F.col("eff_ms") < 1_705_700_000_000)).drop("pos")).select("store_id", "pos", "line", "eff_ms")
+    src = b.select("store_id", F.col("line_no").alias("pos"), F.concat_ws(" ", "event_type", F.col("user_id") % 40).alias("line"), F.col("ts_ms").alias("eff_ms"), "chunk_seq")
+    held = src.where((F.col("pos") % 3 == 0) & (F.col("eff_ms") < 1_705_700_000_000)).drop("pos")
+    chunks = held.groupBy("store_id", F.col("chunk_seq").alias("seq")).agg(F.max("eff_ms").alias("last_write_ms"))
+    return ingest.overlap_dedup(src.drop("chunk_seq"), held, chunks).select("store_id", "pos", "line", "eff_ms")
 
 
 @query(_CH, "SELECT store_id AS segment_id, min(seq) AS start_seq FROM ch WHERE seq BETWEEN 4 AND 6 AND store_id <> 's2' GROUP BY 1")

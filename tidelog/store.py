@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .operators import chunks as C
 from .operators import order as O
 from .operators.entries import group_entries, inherit_stamps
-from .operators.ingest import overlap_dedup
+from .operators.ingest import overlap_dedup, refused
 from .operators.manifest import checked
 from .operators.predicates import Predicates, in_window
 from .operators.stamps import stamp_millis
@@ -91,15 +91,18 @@ class Store:
         """Adds the lines (pos, line) that the store does not hold; returns how many entries are new.
 
         Stamps are inherited, the overlap with what is stored is dropped as a bag, and chunk numbers
-        go on from the last.
+        go on from the last. Lines that start before all that is stored are refused.
         """
         facts = self.facts
         sid = facts["id"]
         stamp = stamp_millis(F.col("line"), facts.get("timestamp_regex"), facts.get("timestamp_format"))
         new = inherit_stamps(lines.select(F.lit(sid).alias("store_id"), F.col("pos").alias("line_no"), "line", stamp.alias("ts_ms")))
         held = self.entries()
-        stored = held.select("store_id", F.explode(F.split("text", "\n")).alias("line"), F.col("wf_ms").alias("eff_ms"))
-        new = overlap_dedup(new.withColumnRenamed("line_no", "pos"), stored).withColumnRenamed("pos", "line_no")
+        stored = held.select("store_id", "chunk_seq", F.explode(F.split("text", "\n")).alias("line"), F.col("wf_ms").alias("eff_ms"))
+        new = new.withColumnRenamed("line_no", "pos")
+        if not refused(new, stored).isEmpty():
+            raise ValueError("the lines start before everything the store holds; ingest in order of time, or to a new store")
+        new = overlap_dedup(new, stored, self.chunks()).withColumnRenamed("pos", "line_no")
         last = held.agg(F.max("chunk_seq"), F.max("entry_no")).first()
         seq0, no0 = (last[0] + 1 if last[0] is not None else 0), (last[1] + 1 if last[1] is not None else 0)
         grouped = group_entries(new.select("store_id", "line_no", "line", "ts_ms"))

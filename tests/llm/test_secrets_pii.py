@@ -104,6 +104,15 @@ def test_the_field_chooses_boundaries_and_types():
     assert not pii.scan("In 2019-04-05 at 10:45:30 we paid 12,345.67 for #48392017 and 3.14159265358979.", model)[1]
 
 
+def test_ibans_with_letters():
+    model = pii.trained()
+    for iban in ("FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "GB29 NWBK 6016 1331 9268 19", "FR1420041010050500013M02606", "MT84MALT011000012345MTLCAST001S", "DE89 3704 0044 0532 0130 00"):
+        for t in (f"pay to iban {iban} today", f"the account is {iban}."):
+            assert ("iban", iban) in [(k, t[a:b]) for k, a, b in pii.scan(t, model)[1]], t
+    longest = " ".join(("XX00" + "A1" * 15)[k : k + 4] for k in range(0, 34, 4))
+    assert len(pii._TOKENS.findall(longest)) <= pii.LONGEST
+
+
 def test_decoding_is_the_best_of_all_segmentations():
     model = pii.trained()
     for text, _ in pii.training_sentences(5, 25):

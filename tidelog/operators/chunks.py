@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .entries import scanned
 
 #: How far a write window may lie from the stamps in it before a widened selection misses them.
 WIDEN_MS = 60_000
@@ -51,8 +52,9 @@ def overlaps(start: int | None, end: int | None, widen_ms: int = 0) -> Column:
 
 def tail(chunks: DataFrame, n: int) -> DataFrame:
     """The last chunks of each store that together hold n entries or more; whole chunks."""
-    after = Window.partitionBy("store_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("__after", F.coalesce(F.sum("n_entries").over(after), F.lit(0))).where(F.col("__after") < n).drop("__after")
+    upto = scanned(chunks, sums={"__upto": F.col("n_entries")}, order="seq").drop("__block")
+    total = chunks.groupBy("store_id").agg(F.sum("n_entries").alias("__total"))
+    return upto.join(total, "store_id").where(F.col("__total") - F.col("__upto") < n).select(*chunks.columns)
 
 
 def from_number(chunks: DataFrame, seq: int) -> DataFrame:
@@ -67,8 +69,8 @@ def follow_from(chunks: DataFrame, start_ms: int) -> DataFrame:
 
 def leading_run(chunks: DataFrame, cutoff_ms: int) -> DataFrame:
     """The chunks at the front of each store that all end before cutoff; one that straddles it ends the run."""
-    upto = Window.partitionBy("store_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return chunks.withColumn("__lead", F.min((F.col("last_write_ms") < cutoff_ms).cast("int")).over(upto)).where("__lead = 1").drop("__lead")
+    late = scanned(chunks, maxs={"__late": (F.col("last_write_ms") >= cutoff_ms).cast("int")}, order="seq")
+    return late.where("__late = 0").select(*chunks.columns)
 
 
 def fixed_chunks(offset: Column, chunk_size: int) -> Column:

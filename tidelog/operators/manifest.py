@@ -30,6 +30,13 @@ def derived(facts: Column, op: str, start: Column | None = None, end: Column | N
     return F.map_concat(kept, F.create_map(*pairs))
 
 
+def derived_facts(facts: dict, op: str, start: int | None = None, end: int | None = None) -> dict:
+    """derived() for one store's facts; an open end of the window is left out."""
+    kept = {k: v for k, v in facts.items() if k not in ("id", "created", *SETTINGS, *LINEAGE)}
+    window = {"window_from": start, "window_to": end}
+    return {**kept, "derived_from": facts["id"], "derived_op": op, **{k: str(v) for k, v in window.items() if v is not None}}
+
+
 def seeded(attrs: Column) -> Column:
     """Facts from stream attributes: the first MAX_ATTRS by name of fitting length, common names shortened."""
     fit = F.map_filter(attrs, lambda k, v: (F.length(k) <= MAX_KEY) & (F.length(v) <= MAX_VALUE) & ~k.isin(*RESERVED))

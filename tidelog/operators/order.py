@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .entries import scanned
+
 
 def merge_key(chunks: DataFrame) -> DataFrame:
     """chunks with merge_ms, the time at which a head-of-queue merge reaches them.
@@ -12,8 +14,7 @@ def merge_key(chunks: DataFrame) -> DataFrame:
     Such a merge takes the source whose next chunk is oldest, so a chunk comes no earlier than those
     before it in its source: its key is the running maximum of the first write times.
     """
-    upto = Window.partitionBy("store_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return chunks.withColumn("merge_ms", F.max("first_write_ms").over(upto))
+    return scanned(chunks, maxs={"merge_ms": F.col("first_write_ms")}, order="seq").drop("__block")
 
 
 def fleet_merge(entries: DataFrame, chunks: DataFrame, sources: list[str] | None = None) -> DataFrame:
@@ -51,6 +52,6 @@ def follower_rank(standings: DataFrame) -> DataFrame:
 
 
 def batches(entries: DataFrame, size: int = 512) -> DataFrame:
-    """entries with batch_no: size entries to a batch in each store."""
-    w = Window.partitionBy("store_id").orderBy("chunk_seq", "entry_no")
-    return entries.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / size))
+    """entries with batch_no: size entries to a batch in each store, in order of entry_no, which chunks follow."""
+    numbered = scanned(entries, sums={"__k": F.lit(1)}, order="entry_no").drop("__block")
+    return numbered.withColumn("batch_no", F.floor((F.col("__k") - 1) / size)).drop("__k")

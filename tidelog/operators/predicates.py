@@ -26,8 +26,8 @@ def contains(text: Column, term: str, caseless: bool = False) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """A regex whose ^ and $ are those of lines, parted by line feeds alone."""
-    return text.rlike("(?md)" + checked_regex(pattern))
+    """A regex whose ^ and $ are those of lines, parted by line feeds alone; classes such as \\w and \\d are those of Unicode."""
+    return text.rlike("(?mdU)" + checked_regex(pattern))
 
 
 def in_window(ts: Column, start: int | None = None, end: int | None = None) -> Column:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..files import saved
 from ..functions.times import human_duration
+from .entries import scanned
 
 #: Chunks to a block where consumers meet entries.
 BLOCK = 16
@@ -30,13 +32,36 @@ def dropped(stores: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def standing(cursors: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per cursor: consumed and behind chunks, bytes behind, lag in ms, and the gap if its position is gone."""
-    both = cursors.select("consumer", "store_id", F.col("seq").alias("at"), "n", "wl").join(chunks, "store_id", "left")
-    ahead = F.col("seq") >= F.col("at")
-    out = both.groupBy("consumer", "store_id").agg(
-        F.any_value("at").alias("position"), F.any_value("n").alias("n"), F.count_if(F.col("seq") < F.col("at")).alias("consumed"), F.count_if(ahead).alias("behind"), F.coalesce(F.sum(F.when(ahead, F.col("uncomp_len"))), F.lit(0)).alias("behind_bytes"),
-        (F.max("last_write_ms") - F.any_value("wl")).alias("behind_ms"), (F.min("seq") - F.any_value("at")).alias("__gap"), F.max("seq").alias("last_seq"),
+    # Cursors and chunks in one order, a cursor before the chunk at its position: a running count and sum, not a row for each pair.
+    none = F.lit(None)
+    marks = cursors.select("store_id", (F.col("seq") * 2).alias("at"), F.struct("consumer", "seq", "n", "wl").alias("cursor"), F.lit(0).alias("one"), F.lit(0).cast("long").alias("bytes"))
+    kind = marks.schema["cursor"].dataType
+    steps = chunks.select("store_id", (F.col("seq") * 2 + 1).alias("at"), none.cast(kind).alias("cursor"), F.lit(1).alias("one"), F.col("uncomp_len").cast("long").alias("bytes"))
+    passed = scanned(marks.unionByName(steps), sums={"consumed": F.col("one"), "read": F.col("bytes")}, order="at").where("cursor is not null")
+    whole = chunks.groupBy("store_id").agg(F.count("*").alias("__n"), F.sum("uncomp_len").alias("__bytes"), F.max("last_write_ms").alias("__last"), F.min("seq").alias("__first"), F.max("seq").alias("last_seq"))
+    out = passed.join(whole, "store_id", "left")
+    ran, gap = F.col("cursor.seq").isNotNull() & F.col("__n").isNotNull(), F.col("__first") - F.col("cursor.seq")
+    counted = lambda c: F.when(ran, c).otherwise(0).cast("long")
+    return out.select(
+        "cursor.consumer", "store_id", F.col("cursor.seq").alias("position"), "cursor.n", counted(F.col("consumed")).alias("consumed"), counted(F.col("__n") - F.col("consumed")).alias("behind"), counted(F.col("__bytes") - F.col("read")).alias("behind_bytes"),
+        (F.col("__last") - F.col("cursor.wl")).alias("behind_ms"), "last_seq", F.when(gap > 0, gap).alias("gap_chunks"),
     )
-    return out.withColumn("gap_chunks", F.when(F.col("__gap") > 0, F.col("__gap"))).drop("__gap")
+
+
+CURSOR_SCHEMA = "consumer string, store_id string, path string, seq long, n long, wl long, delivered long, updated string"
+
+
+def read_cursors(spark, path: str) -> tuple[DataFrame, int]:
+    """(cursors, unreadable) of files of JSON lines: what is no cursor is counted, not guessed at."""
+    raw = spark.read.schema(CURSOR_SCHEMA + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    ok = F.col("_bad").isNull() & F.col("consumer").isNotNull() & F.col("store_id").isNotNull()
+    marked = saved(raw.withColumn("__ok", ok), "cursors")
+    return marked.where("__ok").drop("__ok", "_bad"), marked.where(~F.col("__ok")).count()
+
+
+def at_stores(cursors: DataFrame, stores: DataFrame) -> DataFrame:
+    """The cursors whose store is among stores (store_id); those of others are passed over."""
+    return cursors.join(stores.select("store_id").distinct(), "store_id", "left_semi")
 
 
 def lag_text(gap: Column, behind: Column, live: Column, behind_ms: Column) -> Column:
@@ -44,12 +69,15 @@ def lag_text(gap: Column, behind: Column, live: Column, behind_ms: Column) -> Co
     return F.when(gap.isNotNull(), F.lit("GAP")).when(behind == 0, F.lit("caught up")).when(live, F.lit("at the live edge")).otherwise(F.concat(human_duration(behind_ms), F.lit(" behind")))
 
 
-def interest_floor(followers: DataFrame, stores: DataFrame) -> DataFrame:
+def interest_floor(followers: DataFrame, stores: DataFrame, unreadable: int = 0) -> DataFrame:
     """(store_id, floor): what every retaining follower has read; null holds everything.
 
     A follower that never ran, or stands at or past the next number, makes the floor null; so does a
-    store without retaining followers, for which nothing may be dropped on this axis.
+    store without retaining followers, for which nothing may be dropped on this axis. Declarations that
+    cannot be read (their number) may be of any store, so with one all floors are null.
     """
+    if unreadable:
+        return stores.select("store_id", F.lit(None).cast("long").alias("floor"))
     mine = followers.where("retaining").select("store_id", "seq")
     joined = stores.select("store_id", "next_seq").join(mine.withColumn("__f", F.lit(1)), "store_id", "left")
     bad = F.count_if(F.col("__f").isNotNull() & (F.col("seq").isNull() | (F.col("seq") >= F.col("next_seq"))))
@@ -62,12 +90,9 @@ def retention_drop(chunks: DataFrame, floors: DataFrame, cutoff_ms: int, budget:
     Age drops a leading run once it is a tenth of the bytes; size drops down to 95 % of the budget less
     the margin once the budget is passed; interest drops what lies below the floor.
     """
-    order = Window.partitionBy("store_id").orderBy("seq")
-    upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("store_id")
-    c = chunks.withColumn("__end", F.sum("comp_len").over(upto)).withColumn("__all", F.sum("comp_len").over(whole))
-    c = c.withColumn("__lead", F.min((F.col("last_write_ms") < cutoff_ms).cast("int")).over(upto))
+    c = scanned(chunks, sums={"__end": F.col("comp_len")}, maxs={"__late": (F.col("last_write_ms") >= cutoff_ms).cast("int")}, order="seq").withColumn("__lead", 1 - F.col("__late"))
     target = max(0, max(0, budget - budget // 20) - margin)
-    c = c.join(floors, "store_id", "left")
+    c = c.join(chunks.groupBy("store_id").agg(F.sum("comp_len").alias("__all")), "store_id").join(floors, "store_id", "left")
     age_n, age_bytes = F.count_if(F.col("__lead") == 1), F.coalesce(F.max(F.when(F.col("__lead") == 1, F.col("__end"))), F.lit(0))
     size_n = F.when(F.any_value("__all") > budget, F.count_if(F.col("__all") - (F.col("__end") - F.col("comp_len")) > target)).otherwise(0)
     out = c.groupBy("store_id").agg(F.when(age_bytes * 10 >= F.any_value("__all"), age_n).otherwise(0).alias("by_age"), size_n.alias("by_size"), F.count_if(F.coalesce(F.col("seq") < F.col("floor"), F.lit(False))).alias("by_interest"))
@@ -76,8 +101,7 @@ def retention_drop(chunks: DataFrame, floors: DataFrame, cutoff_ms: int, budget:
 
 def loss_record(chunks: DataFrame, drops: DataFrame, followers: DataFrame) -> DataFrame:
     """(store_id, name, from_seq, to_seq): chunks dropped at or past the position of the furthest-behind retaining follower."""
-    order = Window.partitionBy("store_id").orderBy("seq")
-    gone = chunks.withColumn("__k", F.row_number().over(order)).join(drops.select("store_id", "drop"), "store_id").where(F.col("__k") <= F.col("drop"))
+    gone = scanned(chunks, sums={"__k": F.lit(1)}, order="seq").join(drops.select("store_id", "drop"), "store_id").where(F.col("__k") <= F.col("drop"))
     span = gone.groupBy("store_id").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
     worst = followers.where("retaining").groupBy("store_id").agg(F.min(F.struct(F.coalesce("seq", F.lit(-1)).alias("seq"), "name")).alias("w"))
     out = span.join(worst, "store_id").select("store_id", F.col("w.name").alias("name"), F.greatest("w.seq", "first").alias("from_seq"), F.col("last").alias("to_seq"))
@@ -113,6 +137,24 @@ def folded(delivered: DataFrame) -> DataFrame:
 
 def resolved(cursors: DataFrame, chunks: DataFrame) -> DataFrame:
     """(consumer, store_id, seq, n) of cursors that know a write time only: the first chunk written to then or later, or past the last."""
-    both = cursors.select("consumer", "store_id", "wl").join(chunks.select("store_id", "seq", "last_write_ms"), "store_id")
-    found = both.groupBy("consumer", "store_id").agg(F.min(F.when(F.col("last_write_ms") >= F.col("wl"), F.col("seq"))).alias("hit"), F.max("seq").alias("last"))
-    return found.select("consumer", "store_id", F.coalesce("hit", F.col("last") + 1).alias("seq"), F.lit(0).cast("long").alias("n"))
+    # The first chunk whose running maximum reaches wl is the first that was written to then: one look-up in the order of those maxima.
+    upto = scanned(chunks, maxs={"most": F.col("last_write_ms")}, order="seq").groupBy("store_id", "most").agg(F.min("seq").alias("seq"))
+    steps = upto.select("store_id", (-2 * F.col("most") - 1).alias("at"), "seq", F.lit(None).cast("string").alias("consumer"))
+    marks = cursors.select("store_id", (-2 * F.col("wl")).alias("at"), F.lit(None).cast("long").alias("seq"), F.col("consumer").cast("string").alias("consumer"))
+    hit = scanned(steps.unionByName(marks), lasts={"hit": F.col("seq")}, order="at", block=2 * 86_400_000).where("consumer is not null")
+    last = chunks.groupBy("store_id").agg(F.max("seq").alias("last"))
+    return hit.join(last, "store_id").select("consumer", "store_id", F.coalesce("hit", F.col("last") + 1).alias("seq"), F.lit(0).cast("long").alias("n"))
+
+
+def anchored(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(consumer, store_id, seq, overtaken) of anchors (consumer, store_id, first_write_ms, last_write_ms, uncomp_len, comp_len, hint).
+
+    An anchor is the last chunk that a consumer saw, known by its write window and lengths, which a trim
+    does not change. seq is the first chunk after it: at the hint, else the last one alike at or before it.
+    Where none is left the store overtook the consumer, which goes on at the end.
+    """
+    same = ["store_id", "first_write_ms", "last_write_ms", "uncomp_len", "comp_len"]
+    at = F.when(F.col("seq") <= F.col("hint"), F.col("seq"))
+    found = anchors.join(chunks.select(*same, "seq"), same, "left").groupBy("consumer", "store_id").agg(F.max(at).alias("at"))
+    last = chunks.groupBy("store_id").agg(F.max("seq").alias("last"))
+    return found.join(last, "store_id", "left").select("consumer", "store_id", (F.coalesce("at", "last", F.lit(-1)) + 1).alias("seq"), F.col("at").isNull().alias("overtaken"))

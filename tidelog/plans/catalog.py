@@ -6,9 +6,12 @@ nations for declared stores.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import files, forest
 from ..functions import text as T
 from ..functions import times
 from ..operators import chunks as C
@@ -17,6 +20,7 @@ from ..operators import ingest, manifest, order, predicates, standing
 from ..operators.predicates import Predicates
 from ..operators.stamps import stamp_millis
 from ..sources import evlog, forward, otlp
+from ..store import Store, fleet
 
 #: Two days of January 2024, in milliseconds.
 START, END = 1_704_844_800_000, 1_705_017_600_000
@@ -197,13 +201,17 @@ def index_coverage(spark, d):
     return C.uncovered(C.chunk_index(e), C.chunk_tokens(e).where("seq % 3 <> 0")).select("store_id", "seq")
 
 
-@query(_TK, "SELECT store_id, seq, TRUE AS may FROM tk WHERE list_contains(tokens, '107')")
+@query(_TK, "SELECT token, count(*) FILTER (list_contains(tokens, token)) AS kept, TRUE AS few_beyond FROM tk, (SELECT unnest(['107', '131', 'PURCHASE', 'zebra', 'x00']) AS token) GROUP BY 1")
 def bloom_prune(spark, d):
+    """For each token the chunks that hold it and that the filter keeps, all of them; and whether it keeps no more than a tenth of the rest."""
     index = C.chunk_tokens(_entries(spark, d))
-    kept = C.bloom_index(index).where(C.bloom_may_have(["107"]))
-    # No false negative: what the filter keeps holds all chunks that hold the token; those alone are compared.
-    exact = index.where(F.array_contains("tokens", "107")).select("store_id", "seq")
-    return exact.join(kept.select("store_id", "seq", F.lit(True).alias("may")), ["store_id", "seq"], "left")
+    blooms = index.join(C.bloom_index(index), ["store_id", "seq"])
+    out = None
+    for token in ("107", "131", "PURCHASE", "zebra", "x00"):
+        has = F.array_contains("tokens", token)
+        one = blooms.select(has.alias("has"), C.bloom_may_have([token]).alias("may")).agg(F.lit(token).alias("token"), F.count_if(F.col("has") & F.col("may")).alias("kept"), (F.count_if(~F.col("has") & F.col("may")) <= 1 + 0.1 * F.count_if(~F.col("has"))).alias("few_beyond"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(_CH, "SELECT store_id, seq, n_entries FROM ch WHERE seq >= 7")
@@ -223,14 +231,15 @@ def follow_from(spark, d):
 
 @query(_EN, "SELECT store_id, entry_no, CAST(coalesce(sum(strlen(text)+1) OVER (PARTITION BY store_id ORDER BY entry_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 4096 AS chunk_seq FROM en")
 def fixed_chunks(spark, d):
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("store_id").orderBy("entry_no").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.octet_length("text") + 1).over(before), F.lit(0))
-    return _entries(spark, d).select("store_id", "entry_no", C.fixed_chunks(offset, 4096).alias("chunk_seq"))
+    size = F.octet_length("text") + 1
+    upto = E.scanned(_entries(spark, d), sums={"upto": size}, order="entry_no")
+    return upto.select("store_id", "entry_no", C.fixed_chunks(F.col("upto") - size, 4096).alias("chunk_seq"))
 
 
-@query("", "")
+@query(
+    "RECURSIVE " + _EN + ", nr AS (SELECT store_id, entry_no, strlen(text) + 1 AS n, row_number() OVER (PARTITION BY store_id ORDER BY entry_no) AS k FROM en), gr AS (SELECT store_id, entry_no, k, CAST(0 AS BIGINT) AS chunk_seq, n AS size FROM nr WHERE k = 1 UNION ALL SELECT nr.store_id, nr.entry_no, nr.k, CASE WHEN gr.size >= 4096 THEN gr.chunk_seq + 1 ELSE gr.chunk_seq END, CASE WHEN gr.size >= 4096 THEN nr.n ELSE gr.size + nr.n END FROM gr JOIN nr ON nr.store_id = gr.store_id AND nr.k = gr.k + 1)",
+    "SELECT store_id, entry_no, chunk_seq FROM gr",
+)
 def greedy_chunks(spark, d):
     return C.greedy_chunks(_entries(spark, d), 4096).select("store_id", "entry_no", "chunk_seq")
 
@@ -243,11 +252,11 @@ def p_window_keep_null(spark, d):
     return _lines(spark, d).where(predicates.in_window(F.col("ts_ms"), START, END)).select("store_id", "line_no")
 
 
-def _p(name: str, p: Predicates, sql: str) -> None:
-    """A predicate query on entries of events, and one on documents."""
-    for suffix, table, key, rows in (("", _GR, "store_id, entry_no", "ge"), ("_text", "", "doc_id", "documents")):
+def _p(name: str, entry: tuple[Predicates, str], doc: tuple[Predicates, str] | None = None) -> None:
+    """A predicate query on entries of events, and one on documents, each with its SQL."""
+    for suffix, table, key, rows, (p, sql) in (("", _GR, "store_id, entry_no", "ge", entry), ("_text", "", "doc_id", "documents", doc or entry)):
 
-        def f(spark, d, suffix=suffix):
+        def f(spark, d, suffix=suffix, p=p):
             if suffix:
                 return _documents(spark, d).where(p.entry(F.col("text"))).select("doc_id")
             return _grouped(spark, d).where(p.entry(F.col("text"))).select("store_id", "entry_no")
@@ -260,35 +269,65 @@ def _w(term: str) -> str:
     return rf"(?:\A|[^0-9A-Za-z]){term}(?:[^0-9A-Za-z]|\z)"
 
 
-_p("p_has", Predicates(has=["ERROR", "user"]), rf"regexp_matches(text, '{_w('ERROR')}') AND regexp_matches(text, '{_w('user')}')")
-_p("p_has_ci", Predicates(has_caseless=["Error", "USER"]), rf"regexp_matches(text, '(?i){_w('error')}') AND regexp_matches(text, '(?i){_w('user')}')")
-_p("p_has_ci_wide", Predicates(has_caseless=["the"]), rf"regexp_matches(text, '(?i){_w('the')}')")
-_p("p_sub", Predicates(substring=["er"]), "contains(text, 'er')")
-_p("p_sub_ci", Predicates(substring_caseless=["ÉR"]), "regexp_matches(text, '(?i)ÉR')")
-_p("p_regex", Predicates(regex=[r"^\s*(caused|The) \w+"]), r"regexp_matches(text, '(?m)^\s*(caused|The) \w+')")
-_p("p_any", Predicates(any=["PURCHASE", "the"]), rf"regexp_matches(text, '{_w('PURCHASE')}') OR regexp_matches(text, '{_w('the')}')")
-_p("p_not_has", Predicates(not_has=["CLICK", "the"]), rf"NOT regexp_matches(text, '{_w('CLICK')}') AND NOT regexp_matches(text, '{_w('the')}')")
-_p("p_not_sub", Predicates(not_substring=["VIEW", "und"]), "NOT contains(text, 'VIEW') AND NOT contains(text, 'und')")
-_p("p_not_regex", Predicates(not_regex=[r"user=\d{2,}$", r"[.]$"]), r"NOT regexp_matches(text, '(?m)user=\d{2,}$') AND NOT regexp_matches(text, '(?m)[.]$')")
-_p("p_identity", Predicates(), "TRUE")
-_ALGEBRA = Predicates(has=["user"], any=["ERROR", "PURCHASE"], not_substring=["user=1"], not_has_caseless=["signup"])
-_p("p_algebra", _ALGEBRA, rf"regexp_matches(text, '{_w('user')}') AND (regexp_matches(text, '{_w('ERROR')}') OR regexp_matches(text, '{_w('PURCHASE')}')) AND NOT contains(text, 'user=1') AND NOT regexp_matches(text, '(?i){_w('signup')}')")
+def _hits(*terms: str, flag: str = "") -> str:
+    return " AND ".join(f"regexp_matches(text, '{flag}{_w(t)}')" for t in terms)
+
+
+_p("p_has", (Predicates(has=["ERROR", "user"]), _hits("ERROR", "user")), (Predicates(has=["the", "of"]), _hits("the", "of")))
+_p("p_has_ci", (Predicates(has_caseless=["Error", "USER"]), _hits("error", "user", flag="(?i)")), (Predicates(has_caseless=["DER", "Die"]), _hits("der", "die", flag="(?i)")))
+_p("p_has_ci_wide", (Predicates(has_caseless=["Caused"]), _hits("caused", flag="(?i)")), (Predicates(has_caseless=["the"]), _hits("the", flag="(?i)")))
+_p("p_sub", (Predicates(substring=["user=1"]), "contains(text, 'user=1')"), (Predicates(substring=["ther"]), "contains(text, 'ther')"))
+_p("p_sub_ci", (Predicates(substring_caseless=["eRRoR USER=10"]), "regexp_matches(text, '(?i)error user=10')"), (Predicates(substring_caseless=["ÉR"]), "regexp_matches(text, '(?i)ÉR')"))
+_p("p_regex", (Predicates(regex=[r"^\s*(caused|The) \w+"]), r"regexp_matches(text, '(?m)^\s*(caused|The) [\p{L}\p{M}\p{Nd}_]+')"))
+_p("p_any", (Predicates(any=["PURCHASE", "the"]), rf"regexp_matches(text, '{_w('PURCHASE')}') OR regexp_matches(text, '{_w('the')}')"))
+_p("p_not_has", (Predicates(not_has=["CLICK", "the"]), rf"NOT regexp_matches(text, '{_w('CLICK')}') AND NOT regexp_matches(text, '{_w('the')}')"))
+_p("p_not_sub", (Predicates(not_substring=["VIEW", "und"]), "NOT contains(text, 'VIEW') AND NOT contains(text, 'und')"))
+_p("p_not_regex", (Predicates(not_regex=[r"user=\d{2,}$", r"[.]$"]), r"NOT regexp_matches(text, '(?m)user=\p{Nd}{2,}$') AND NOT regexp_matches(text, '(?m)[.]$')"))
+_p("p_identity", (Predicates(), "TRUE"))
+_p(
+    "p_algebra",
+    (Predicates(has=["user"], any=["ERROR", "PURCHASE"], not_substring=["user=1"], not_has_caseless=["signup"]), _hits("user") + f" AND ({_hits('ERROR')} OR {_hits('PURCHASE')}) AND NOT contains(text, 'user=1') AND NOT ({_hits('signup', flag='(?i)')})"),
+    (Predicates(has=["the"], any=["of", "and"], not_substring=["###"], not_has_caseless=["LICENSE"]), _hits("the") + f" AND ({_hits('of')} OR {_hits('and')}) AND NOT contains(text, '###') AND NOT ({_hits('license', flag='(?i)')})"),
+)
+
+
+#: Chunks to a folder of the stored entries, and where they lie by session and tables.
+_PER, _stored = 16, {}
+
+
+@query(_TK, "SELECT ch.*, list_sort(tokens) AS tokens FROM ch JOIN tk USING (store_id, seq)")
+def index_build(spark, d):
+    """The chunk index with its tokens. The first call of a session stores it, and the entries by folders of chunks; later ones read it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        at = f"{files.shared_dir(spark)}/indexed/{uuid.uuid4().hex}"
+        e = _entries(spark, d).withColumn("block", F.floor(F.col("chunk_seq") / _PER))
+        e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", "chunk_seq", "entry_no").write.partitionBy("block").parquet(f"{at}/entries")
+        e = spark.read.parquet(f"{at}/entries")
+        C.chunk_index(e).join(C.chunk_tokens(e), ["store_id", "seq"], "left").write.parquet(f"{at}/index")
+        _stored[key] = at
+    return spark.read.parquet(f"{_stored[key]}/index")
+
+
+def _pruned(spark, d, chunks):
+    """The entries of chunks, out of the folders that hold them."""
+    keys = files.saved(chunks.select("store_id", F.col("seq").alias("chunk_seq")), "picked")
+    blocks = [r[0] for r in keys.select(F.floor(F.col("chunk_seq") / _PER)).distinct().collect()]
+    return spark.read.parquet(f"{_stored[spark.sparkContext.applicationId, d]}/entries").where(F.col("block").isin(blocks) if blocks else F.lit(False)).join(keys, ["store_id", "chunk_seq"], "left_semi")
 
 
 @query(_EN, rf"SELECT store_id, entry_no FROM en WHERE regexp_matches(text, '{_w('PURCHASE')}') AND contains(text, ' user=10')")
 def p_pruned_equiv(spark, d):
     """Only chunks that the token index lets pass are read; the answer is that of a full scan."""
-    e, p = _entries(spark, d), Predicates(has=["PURCHASE"], substring=[" user=10"])
-    keep = C.chunk_tokens(e).where(p.chunk(F.col("tokens"))).select("store_id", F.col("seq").alias("chunk_seq"))
-    return e.join(keep, ["store_id", "chunk_seq"], "left_semi").where(p.entry(F.col("text"))).select("store_id", "entry_no")
+    p = Predicates(has=["PURCHASE"], substring=[" user=10"])
+    return _pruned(spark, d, index_build(spark, d).where(p.chunk(F.col("tokens")))).where(p.entry(F.col("text"))).select("store_id", "entry_no")
 
 
 @query(_EN, rf"SELECT store_id, entry_no, ts_ms, text FROM en WHERE (ts_ms IS NULL OR ts_ms BETWEEN {START} AND {END}) AND regexp_matches(text, '{_w('ERROR')}')")
 def window_query(spark, d):
     """The flagship: a time window and a word, pruned by write windows and tokens before entries are read."""
-    e, p = _entries(spark, d), Predicates(has=["ERROR"])
-    keep = C.chunk_index(e).where(C.overlaps(START, END, C.WIDEN_MS)).join(C.chunk_tokens(e).where(p.chunk(F.col("tokens"))), ["store_id", "seq"], "left_semi")
-    e = e.join(keep.select("store_id", F.col("seq").alias("chunk_seq")), ["store_id", "chunk_seq"], "left_semi")
+    p = Predicates(has=["ERROR"])
+    e = _pruned(spark, d, index_build(spark, d).where(C.overlaps(START, END, C.WIDEN_MS) & p.chunk(F.col("tokens"))))
     return e.where(predicates.in_window(F.col("ts_ms"), START, END) & p.entry(F.col("text"))).select("store_id", "entry_no", "ts_ms", "text")
 
 
@@ -357,7 +396,10 @@ def hex_base64(spark, d):
     return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.lower(F.hex(F.encode("n_name", "utf-8"))).alias("hexed"), F.base64(F.encode("n_name", "utf-8")).alias("coded"))
 
 
-@query("", "")
+_CRC = "RECURSIVE bits AS (SELECT range AS i, range AS x, 0 AS k FROM range(256) UNION ALL SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, k + 1 FROM bits WHERE k < 8), tab AS (SELECT list(x ORDER BY i) AS t FROM bits WHERE k = 8), b AS (SELECT doc_id, text IS NULL AS none, list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST(('0x' || h) AS BIGINT))) AS bytes FROM documents)"
+
+
+@query(_CRC, "SELECT doc_id, CASE WHEN NOT none THEN xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) END AS crc FROM b, tab")
 def crc(spark, d):
     return _documents(spark, d).select("doc_id", F.crc32("text").alias("crc"))
 
@@ -446,17 +488,23 @@ def overlap_dedup(spark, d):
     return ingest.overlap_dedup(src.drop("chunk_seq"), held, chunks).select("store_id", "pos", "line", "eff_ms")
 
 
-@query(_CH, "SELECT store_id AS segment_id, min(seq) AS start_seq FROM ch WHERE seq BETWEEN 4 AND 6 AND store_id <> 's2' GROUP BY 1")
+@query(_CH, "SELECT store_id || '/' || seq // 3 AS segment_id, min(seq) AS start_seq FROM ch GROUP BY store_id, seq // 3 HAVING NOT bool_or(store_id = 's2' AND seq % 3 = 1)")
 def segment_present(spark, d):
+    """Every run of three chunks as a segment to look for; one changed chunk in each run of a store is not found."""
     c = _chunks(spark, d)
-    seg = c.where("seq between 4 and 6").select(F.col("store_id").alias("segment_id"), (F.col("seq") - 4).alias("pos"), "first_write_ms", (F.col("last_write_ms") + F.when((F.col("store_id") == "s2") & (F.col("seq") == 5), 1).otherwise(0)).alias("last_write_ms"), "uncomp_len", "comp_len")
+    third = F.floor(F.col("seq") / 3)
+    changed = (F.col("store_id") == "s2") & (F.col("seq") % 3 == 1)
+    seg = c.select(F.concat_ws("/", "store_id", third).alias("segment_id"), (F.col("seq") - 3 * third).alias("pos"), "first_write_ms", (F.col("last_write_ms") + F.when(changed, 1).otherwise(0)).alias("last_write_ms"), "uncomp_len", "comp_len")
     return ingest.segment_present(seg, c.drop("store_id"))
 
 
-@query(_EV, "SELECT store_id, count(*) AS n, store_id <> 's5' AS same FROM ev WHERE line_no < 800 GROUP BY 1")
+@query(_EV, "SELECT store_id, count(*) AS n, store_id <> 's5' AS same FROM ev WHERE line_no < (SELECT max(line_no) * 0.9 FROM ev) GROUP BY 1")
 def prefix_verify(spark, d):
+    """The first nine tenths of the lines, as a store would hold them; those of one store are changed."""
     src = evlog.rendered(_events(spark, d)).select("store_id", F.col("line_no").alias("pos"), "line")
-    held = src.where("pos < 800").withColumn("line", F.when(F.col("store_id") == "s5", F.concat("line", F.lit("?"))).otherwise(F.col("line")))
+    most = src.agg((F.max("pos") * 0.9).alias("most"))
+    held = src.join(F.broadcast(most), F.col("pos") < F.col("most")).drop("most")
+    held = held.withColumn("line", F.when(F.col("store_id") == "s5", F.concat("line", F.lit("?"))).otherwise(F.col("line")))
     return ingest.prefix_verified(held, src)
 
 
@@ -496,8 +544,7 @@ def vital_signs(spark, d):
 
 @query(_FO + f", vs AS ({_VS})", "SELECT vs.store_id, n_chunks, uncomp_bytes, followers, retaining FROM vs LEFT JOIN (SELECT store_id, count(*) AS followers, count(*) FILTER (retaining) AS retaining FROM fo GROUP BY 1) USING (store_id)")
 def catalogue(spark, d):
-    f = _followers(spark, d).groupBy("store_id").agg(F.count("*").alias("followers"), F.count_if("retaining").alias("retaining"))
-    return standing.vital_signs(_chunks(spark, d)).join(f, "store_id", "left").select("store_id", "n_chunks", "uncomp_bytes", "followers", "retaining").orderBy("store_id")
+    return forest.with_followers(standing.vital_signs(_chunks(spark, d)), _followers(spark, d)).select("store_id", "n_chunks", "uncomp_bytes", "followers", "retaining").orderBy("store_id")
 
 
 @query(_CH, "SELECT store_id, coalesce(min(seq) FILTER (seq >= 5 AND store_id <> 's6'), max(seq) + 1) AS dropped FROM ch GROUP BY 1")
@@ -550,16 +597,21 @@ def rotate_split(spark, d):
     return C.leading_run(_chunks(spark, d), START).select("store_id", "seq")
 
 
-@query(_CU.replace("customer)", "customer WHERE c_custkey <= 40)"), "SELECT consumer, store_id, entry_no FROM (SELECT cu.consumer, en.store_id, en.entry_no, en.chunk_seq, cu.seq, cu.n, row_number() OVER (PARTITION BY consumer, chunk_seq ORDER BY entry_no) AS k FROM en JOIN cu ON en.store_id = cu.store_id WHERE chunk_seq >= seq) WHERE chunk_seq > seq OR k > n")
+@query(_CU, "SELECT consumer, store_id, entry_no FROM (SELECT cu.consumer, en.store_id, en.entry_no, en.chunk_seq, cu.seq, cu.n, row_number() OVER (PARTITION BY consumer, chunk_seq ORDER BY entry_no) AS k FROM en JOIN cu ON en.store_id = cu.store_id WHERE chunk_seq >= seq) WHERE chunk_seq > seq OR k > n")
 def resume_skip(spark, d):
-    few = _cursors(spark, d).join(spark.read.parquet(f"{d}/customer.parquet").where("c_custkey <= 40").select(F.col("c_name").alias("consumer")), "consumer", "left_semi")
-    return standing.resume(_entries(spark, d), few).select("consumer", "store_id", "entry_no")
+    """What each cursor has yet to read; the result grows with consumers times entries."""
+    return standing.resume(_entries(spark, d), _cursors(spark, d)).select("consumer", "store_id", "entry_no")
 
 
-@query(_CU, "SELECT consumer, store_id, entry_no FROM (SELECT cu.consumer, en.store_id, en.entry_no, en.chunk_seq, cu.seq, cu.n, row_number() OVER (PARTITION BY consumer, chunk_seq ORDER BY entry_no) AS k FROM en JOIN cu ON en.store_id = cu.store_id WHERE chunk_seq >= seq) WHERE chunk_seq > seq OR k > n")
-def resume_all(spark, d):
-    """resume_skip over every cursor; the result grows with consumers times entries."""
-    return standing.resume(_entries(spark, d), _cursors(spark, d)).select("consumer", "store_id", "entry_no")
+@query(_CU, "SELECT consumer, store_id, CASE WHEN consumer_no % 5 = 0 THEN last + 1 ELSE mark + 1 END AS seq, consumer_no % 5 = 0 AS overtaken FROM (SELECT c_name AS consumer, c_custkey AS consumer_no, ch.store_id, seq AS mark, max(seq) OVER (PARTITION BY ch.store_id, c_custkey) AS last, row_number() OVER (PARTITION BY c_custkey ORDER BY seq) AS k, count(*) OVER (PARTITION BY c_custkey) AS n FROM customer JOIN ch ON ch.store_id = 's' || c_custkey % 8) WHERE k = 1 + consumer_no % n")
+def anchor_resolve(spark, d):
+    """Each consumer saw one chunk last, which the store still has but for every fifth consumer."""
+    c, k = _chunks(spark, d), F.col("c_custkey")
+    runs = c.groupBy("store_id").agg(F.array_sort(F.collect_list(F.struct("seq", "first_write_ms", "last_write_ms", "uncomp_len", "comp_len"))).alias("all"))
+    who = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("consumer"), k, F.concat(F.lit("s"), k % 8).alias("store_id"))
+    seen = who.join(runs, "store_id").select("consumer", "store_id", F.element_at("all", (1 + k % F.size("all")).cast("int")).alias("at"), (k % 5 == 0).alias("gone"))
+    anchors = seen.select("consumer", "store_id", "at.first_write_ms", "at.last_write_ms", (F.col("at.uncomp_len") + F.col("gone").cast("long")).alias("uncomp_len"), "at.comp_len", F.col("at.seq").alias("hint"))
+    return standing.anchored(anchors, c)
 
 
 @query(_EN, "SELECT consumer, store_id, arg_max(n, chunk_seq) AS n, max(chunk_seq) AS seq, arg_max(wl, chunk_seq) AS wl, CAST(sum(n) AS BIGINT) AS delivered FROM (SELECT 'c' || entry_no % 3 AS consumer, store_id, chunk_seq, count(*) AS n, max(wl_ms) AS wl FROM en GROUP BY ALL) GROUP BY 1, 2")
@@ -638,12 +690,71 @@ _SH = "sh AS (SELECT s_suppkey, s_name, s_suppkey % 3 AS forest, lower(replace(s
 @query(_SH, "SELECT handle, forest, s_suppkey FROM sh WHERE handle IN (SELECT handle FROM sh GROUP BY 1 HAVING count(*) = 1)")
 def resolve_handles(spark, d):
     s = spark.read.parquet(f"{d}/supplier.parquet").select(F.lower(F.regexp_replace("s_name", "#", "-")).alias("handle"), (F.col("s_suppkey") % 3).alias("forest"), "s_suppkey")
-    single = s.groupBy("handle").count().where("count = 1").select("handle")
-    return s.join(single, "handle", "left_semi")
+    return forest.unique_handles(s)
 
 
 @query(_SH, r"SELECT s_suppkey, regexp_replace(regexp_replace(handle || '.log.rings', '\.rings$', ''), '\.log$', '') AS handle FROM sh")
 def forest_scan(spark, d):
     s = spark.read.parquet(f"{d}/supplier.parquet")
     name = F.concat(F.lower(F.regexp_replace("s_name", "#", "-")), F.lit(".log.rings"))
-    return s.select("s_suppkey", F.regexp_replace(F.regexp_replace(name, r"\.rings$", ""), r"\.log$", "").alias("handle"))
+    return s.select("s_suppkey", forest.handle_column(name).alias("handle"))
+
+
+# ---- stores ---------------------------------------------------------------------------------
+
+#: Bytes to a chunk of the stores made here.
+_SIZE = 2048
+_S1 = _EV + f", sl AS (SELECT line_no, ts_ms, line, event_type, CAST(sum(strlen(line) + 1) OVER (ORDER BY line_no ROWS UNBOUNDED PRECEDING) - strlen(line) - 1 AS BIGINT) // {_SIZE} AS seq FROM ev), sc AS (SELECT seq, count(*) AS n, sum(strlen(line) + 1) AS bytes, min(ts_ms) AS f, max(ts_ms) AS l, bool_or(event_type = 'error') AS has FROM sl GROUP BY 1)"
+_WINDOW = f"(ts_ms BETWEEN {START} AND {END})"
+_PICKED = f"l >= {START - C.WIDEN_MS} AND f <= {END + C.WIDEN_MS} AND has"
+
+
+def _store(spark, d, name: str = "events", **facts) -> Store:
+    """A new store, in the shared folder, of all events as lines."""
+    store = Store.create(spark, f"{files.shared_dir(spark)}/stores/{name}-{uuid.uuid4().hex}.log", **facts)
+    store.ingest(evlog.rendered(_events(spark, d)).select(F.col("line_no").alias("pos"), "line"), _SIZE)
+    return store
+
+
+@query(_S1, f"SELECT line_no AS entry_no, seq AS chunk_seq, ts_ms, line AS text FROM sl WHERE {_WINDOW} AND event_type = 'error'")
+def store_query(spark, d):
+    """A window and a word asked of a store: only the folders of chunks that may hold them are read."""
+    return _store(spark, d).query(START, END, Predicates(has=["ERROR"])).select("entry_no", "chunk_seq", "ts_ms", "text")
+
+
+@query(_S1, f"SELECT count(*) FILTER ({_PICKED}) AS chunks_read, count(*) AS chunks_total, CAST(sum(n) FILTER ({_PICKED}) AS BIGINT) AS entries_read FROM sc")
+def store_read_cost(spark, d):
+    return _store(spark, d).read_cost(START, END, Predicates(has=["ERROR"]))
+
+
+@query(_S1, f"SELECT (SELECT count(*) FROM sc) AS before, count(*) AS after, (SELECT min(seq) FROM sc WHERE l >= {START}) AS first_seq, CAST((SELECT sum(bytes) FROM sc) - sum(bytes) AS BIGINT) AS dropped_bytes, CAST(sum(n) AS BIGINT) AS entries FROM sc WHERE seq >= (SELECT min(seq) FROM sc WHERE l >= {START})")
+def store_rotate(spark, d):
+    """Chunks, bytes and entries of a store before and after its front goes to another one."""
+    store = _store(spark, d)
+    before = store.info()
+    store.rotate(START, Store.create(spark, f"{store.path}.old"))
+    after = store.info()
+    return spark.createDataFrame([(before["chunks"], after["chunks"], after["first_seq"], after["dropped_bytes"], store.entries().count())], "before long, after long, first_seq long, dropped_bytes long, entries long")
+
+
+@query(_S1, f"SELECT (SELECT count(*) FROM sc) AS before, count(*) AS after, CAST((SELECT sum(bytes) FROM sc) - sum(bytes) AS BIGINT) AS dropped_bytes, CAST(sum(n) AS BIGINT) AS entries FROM sc WHERE seq >= (SELECT CASE WHEN 10 * sum(bytes) FILTER (seq < cut) >= sum(bytes) THEN any_value(cut) ELSE 0 END FROM sc, (SELECT min(seq) AS cut FROM sc WHERE l >= {END} - 432000000))")
+def store_trim(spark, d):
+    """Retention by age: five days before the window's end."""
+    store = _store(spark, d, retain="5d")
+    before = store.info()["chunks"]
+    told = store.trim(END, dry_run=True)
+    done = store.trim(END)
+    after = store.info()
+    return spark.createDataFrame([(before, after["chunks"] if told == done else -1, after["dropped_bytes"], store.entries().count())], "before long, after long, dropped_bytes long, entries long")
+
+
+@query(_EV, "SELECT src_idx, text FROM (SELECT line_no % 2 AS src_idx, line AS text, row_number() OVER (ORDER BY m, line_no % 2, line_no) AS k FROM (SELECT *, max(f) OVER (PARTITION BY line_no % 2 ORDER BY seq) AS m FROM (SELECT *, min(ts_ms) OVER (PARTITION BY line_no % 2, seq) AS f FROM (SELECT *, CAST(sum(strlen(line) + 1) OVER (PARTITION BY line_no % 2 ORDER BY line_no ROWS UNBOUNDED PRECEDING) - strlen(line) - 1 AS BIGINT) // " + str(_SIZE) + " AS seq FROM ev)))) WHERE k <= 300")
+def fleet_capped(spark, d):
+    """The first 300 entries of two stores together: the cap is shared."""
+    stores = []
+    lines = evlog.rendered(_events(spark, d)).select(F.col("line_no").alias("pos"), "line")
+    for k in range(2):
+        s = Store.create(spark, f"{files.shared_dir(spark)}/stores/half{k}-{uuid.uuid4().hex}.log")
+        s.ingest(lines.where(F.col("pos") % 2 == k), _SIZE)
+        stores.append(s)
+    return fleet(stores, max_n=300).select(F.col("src_idx").cast("long").alias("src_idx"), "text")

@@ -10,28 +10,36 @@ import io
 import json
 import os
 import tarfile
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import files
+
 
 def write_bundle(path: str, entries: DataFrame, chunks: DataFrame, manifest: dict) -> None:
-    with tempfile.TemporaryDirectory() as tmp:
-        chunks.coalesce(1).write.parquet(f"file://{tmp}/index")
-        entries.write.parquet(f"file://{tmp}/entries")
-        hidden = f"{path}.part"
-        with tarfile.open(hidden, "w", format=tarfile.USTAR_FORMAT) as tar:
-            for folder in ("index", "manifest", "entries"):
-                if folder == "manifest":
-                    data = json.dumps(manifest, sort_keys=True).encode()
-                    info = tarfile.TarInfo("manifest.json")
-                    info.size = len(data)
-                    tar.addfile(info, io.BytesIO(data))
-                    continue
-                for name in sorted(os.listdir(f"{tmp}/{folder}")):
-                    if name.endswith(".parquet"):
-                        tar.add(f"{tmp}/{folder}/{name}", f"{folder}/{name}")
-        os.rename(hidden, path)
+    """Makes a bundle at path, a file of the driver; executors write to the shared folder."""
+    spark = entries.sparkSession
+    at = f"{files.shared_dir(spark)}/bundles/{uuid.uuid4().hex}"
+    chunks.coalesce(1).write.parquet(f"{at}/index")
+    entries.write.parquet(f"{at}/entries")
+    hidden = f"{path}.part"
+
+    def add(tar, name: str, data: bytes) -> None:
+        info = tarfile.TarInfo(name)
+        info.size = len(data)
+        tar.addfile(info, io.BytesIO(data))
+
+    with tarfile.open(hidden, "w", format=tarfile.USTAR_FORMAT) as tar:
+        for folder in ("index", "manifest", "entries"):
+            if folder == "manifest":
+                add(tar, "manifest.json", json.dumps(manifest, sort_keys=True).encode())
+                continue
+            for name, *_ in files.listing(spark, f"{at}/{folder}"):
+                if name.endswith(".parquet"):
+                    add(tar, f"{folder}/{name}", files.read_bytes(spark, f"{at}/{folder}/{name}"))
+    os.rename(hidden, path)
+    files.delete(spark, at)
 
 
 def read_bundle(spark: SparkSession, path: str, folder: str) -> tuple[DataFrame, DataFrame, dict]:

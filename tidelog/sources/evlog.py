@@ -17,6 +17,18 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
 
 
+def write_entries(entries: DataFrame, path: str, label: str | None = None) -> None:
+    """Entries as text records that end with a NUL byte, so that their line feeds stay inside; label is a column that goes before each."""
+    text = F.regexp_replace("text", r"\n\z", "")
+    out = F.concat(F.col(label).cast("string"), F.lit(":"), text) if label else text
+    entries.select(out.alias("value")).write.option("lineSep", "\0").text(path)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(text) of records that end with a NUL byte."""
+    return spark.read.option("lineSep", "\0").text(path).withColumnRenamed("value", "text")
+
+
 def rendered(events: DataFrame) -> DataFrame:
     """(store_id, line_no, ts_ms, line, chunk_seq, user_id, event_type, props): one stamped line per event."""
     ts = F.col("ts").cast("timestamp")

@@ -5,8 +5,10 @@ A stream without its stream-end record is truncated and refused; nothing of it i
 
 from __future__ import annotations
 
+import mmap
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 # The framing of version 1.
@@ -32,7 +34,7 @@ def read_stream(data: bytes) -> Iterator[tuple[str, dict, bytes | None]]:
         if end < 0:
             raise StreamError("record stream truncated inside a record")
         body, at = data[at:end], end + 1
-        if not body.startswith(RS):
+        if body[:1] != RS:
             raise StreamError("not a record stream: a record without its mark")
         kind, *parts = body[1:].split(US)
         kind = kind.decode("utf-8", "replace")
@@ -67,16 +69,38 @@ def _number(fields: dict, key: str) -> int | None:
     return int(v) if v.isdigit() else None
 
 
-def entries_of(data: bytes) -> list[tuple]:
-    """Rows of SCHEMA; the whole stream is read before the first is shown."""
-    out, single = [], None
+def rows_of(data) -> Iterator[tuple]:
+    """Rows of SCHEMA of bytes or a mapped file; the whole stream is checked before the first is shown."""
+    for _ in read_stream(data):
+        pass
+    single = None
     for kind, f, payload in read_stream(data):
         if kind == "source":
             single = f.get("path", [None])[0] if single is None else ""
         elif kind == "entry":
             src = f.get("src", [None])[0] or single or None
-            out.append((src, *(_number(f, k) for k in NUMBERS), payload))
-    return out
+            yield (src, *(_number(f, k) for k in NUMBERS), payload)
+
+
+def entries_of(data: bytes) -> list[tuple]:
+    return list(rows_of(data))
+
+
+def head_of(data) -> dict:
+    """The fields of a stream's first record: its version, selection, sources and stages."""
+    return next(read_stream(data))[1]
+
+
+def read_records(spark, path: str):
+    """The rows of SCHEMA of record streams at path, in any store that Spark reads, a task for each file."""
+
+    def run(batches):
+        for pdf in batches:
+            for data in pdf["content"]:
+                rows = list(rows_of(bytes(data)))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({c: "Int64" for c in ("ts_ms", "wf_ms", "wl_ms", "chunk_seq")})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SCHEMA)
 
 
 def _record(kind: str, pairs: list[tuple[str, object]]) -> bytes:
@@ -91,8 +115,8 @@ def _record(kind: str, pairs: list[tuple[str, object]]) -> bytes:
     return out + NUL
 
 
-def write_stream(rows: list[tuple], selection: list[tuple[str, object]] | None = None, sources: list[tuple[str, int | None, int | None]] | None = None, stages: list[str] | None = None) -> bytes:
-    """A whole stream of rows of SCHEMA. selection: from, to, has and any; sources: (path, kept, total)."""
+def write_stream(rows: list[tuple], selection: list[tuple[str, object]] | None = None, sources: list[tuple[str, int | None, int | None]] | None = None, stages: list[str] | None = None, dropped: int = 0) -> bytes:
+    """A whole stream of rows of SCHEMA. selection: from, to, has and any; sources: (path, kept, total); dropped: entries read and left out."""
     if sources is None:
         sources = [(s, None, None) for s in dict.fromkeys(r[0] for r in rows) if s is not None]
     out = [_record("stream-start", [("v", VERSION), *(selection or []), ("sources", len(sources)), *(("stage", s) for s in stages or [])])]
@@ -101,7 +125,7 @@ def write_stream(rows: list[tuple], selection: list[tuple[str, object]] | None =
         out += [_record("entry", [("len", len(payload)), ("ts", ts), ("wf", wf), ("wl", wl), ("chunk", chunk), ("src", src if len(sources) > 1 else None)]), payload, NUL]
     kept, total = [s[1] for s in sources], [s[2] for s in sources]
     read = [("chunks_read", sum(kept)), ("chunks_total", sum(total))] if sources and None not in kept + total else []
-    out.append(_record("stream-end", [("entries", len(rows)), ("dropped", 0), *read]))
+    out.append(_record("stream-end", [("entries", len(rows)), ("dropped", dropped), *read]))
     return b"".join(out)
 
 
@@ -113,7 +137,7 @@ class _Part(InputPartition):
 class RecordStreamSource(DataSource):
     """spark.read.format("tidelog-records").option("paths", "a,b"): one task per stream.
 
-    Paths are local to the executors, or on a mount that all share.
+    Paths are local to the executors, or on a mount that all share; read_records() reads from any store.
     """
 
     @classmethod
@@ -138,8 +162,8 @@ class _Reader(DataSourceReader):
         return [_Part(p) for p in self.paths]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            yield from entries_of(f.read())
+        with open(partition.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            yield from rows_of(data)
 
 
 class _Written(WriterCommitMessage):

@@ -13,8 +13,17 @@ def der(tag, body):
     return bytes([tag]) + size + body
 
 
+def number(rng, size):
+    return der(2, bytes([0]) + bytes([rng.randrange(1, 127)]) + rng.randbytes(size))
+
+
 def rsa_like(rng, size=128):
-    return der(0x30, b"".join(der(2, bytes([0]) + bytes([rng.randrange(1, 127)]) + rng.randbytes(n)) for n in (1, size, 3, size, size // 2)))
+    return der(0x30, der(2, b"\0") + b"".join(number(rng, n) for n in (size, 3, size, size // 2, size // 2, size // 2, size // 2, size // 2)))
+
+
+def openssh(rng):
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    return b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(rng.randbytes(51)) + field(rng.randbytes(136))
 
 
 def kinds(text):
@@ -28,14 +37,33 @@ def test_structures_are_confirmed_and_lookalikes_are_not():
     pem = f"-----BEGIN RSA PRIVATE KEY-----\n{b64}\n-----END RSA PRIVATE KEY-----"
     url = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     jwt = f"{url({'alg': 'HS256', 'typ': 'JWT'})}.{url({'sub': '1', 'n': 'x'})}.c2lnbmF0dXJl"
-    ssh = base64.b64encode(b"\0\0\0\x07ssh-rsa\0\0\0\x03\x01\0\x01\0\0\0\x10" + rng.randbytes(16)).decode()
+    ssh = base64.b64encode(openssh(rng)).decode()
+    public = base64.b64encode(b"\0\0\0\x07ssh-rsa\0\0\0\x03\x01\0\x01\0\0\0\x10" + rng.randbytes(16)).decode()
+    algorithm = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(5, b""))
+    pkcs8 = base64.b64encode(der(0x30, der(2, b"\0") + algorithm + der(4, key))).decode()
+    sec1 = base64.b64encode(der(0x30, der(2, b"\1") + der(4, rng.randbytes(32)) + der(0xA0, der(6, b"\x2b\x81\x04\0\x22")))).decode()
+    locked = base64.b64encode(der(0x30, algorithm + der(4, rng.randbytes(96)))).decode()
+    spki = base64.b64encode(der(0x30, algorithm + der(3, b"\0" + der(0x30, number(rng, 128) + number(rng, 3))))).decode()
+    signature = base64.b64encode(der(0x30, number(rng, 32) + number(rng, 32))).decode()
+    certificate = base64.b64encode(der(0x30, der(0x30, number(rng, 8) + algorithm) + algorithm + der(3, rng.randbytes(64)))).decode()
+    blank = f"{base64.urlsafe_b64encode(json.dumps({'alg': 'none'}, indent=1).encode()).decode().rstrip('=')}.{url({'sub': '1'})}.c2ln"
+    space = f"{base64.urlsafe_b64encode(b' ' + json.dumps({'alg': 'ES256'}).encode()).decode().rstrip('=')}.{url({'sub': '1'})}.c2ln"
+    accented = base64.b64encode("le mot de passe é: password = hunter2hunter2".encode()).decode()
+    nested = "password = hunter2hunter2 and more"
+    for _ in range(6):
+        nested = base64.b64encode(nested.encode()).decode()
     inner = base64.b64encode(b"password = hunter2hunter2 and more").decode()
-    for kind, s in (("pem", pem), ("der", b64), ("jwt", jwt), ("ssh", ssh), ("encoded", inner)):
+    for kind, s in (("pem", pem), ("der", b64), ("jwt", jwt), ("ssh", ssh), ("encoded", inner), ("der", pkcs8), ("der", sec1), ("der", locked), ("jwt", blank), ("jwt", space), ("encoded", accented), ("encoded", nested)):
         assert (kind, s) in kinds(f"see {s} here"), kind
     assert [k for k, _ in kinds(key.hex())] == ["hex", "der"]
-    for s in (b64[:-8], base64.b64encode(rng.randbytes(90)).decode(), f"{url({'typ': 'x'})}.{url({})}.abc", "MIIB" + "A" * 60, base64.b64encode(b"just some words in a line").decode()):
+    for s in (b64[:-8], base64.b64encode(rng.randbytes(90)).decode(), f"{url({'typ': 'x'})}.{url({})}.abc", "MIIB" + "A" * 60, base64.b64encode(b"just some words in a line").decode(), public, spki, signature, certificate, f"-----BEGIN PUBLIC KEY-----\n{spki}\n-----END PUBLIC KEY-----", f"-----BEGIN CERTIFICATE-----\n{certificate}\n-----END CERTIFICATE-----"):
         assert not [k for k, _ in kinds(f"see {s} here") if k not in secrets.BASE], s
-    assert secrets.der_items(b"\x30\x80\0\0", 0, 4) is None
+    assert secrets.der_items(b"\x30\x80\0\0") is None
+    deep = b""
+    for _ in range(60):
+        deep = der(0x30, deep)
+    assert len(secrets.der_items(deep)) == 60
+    assert not secrets.is_ssh_key(openssh(rng)[:-1]) and not secrets.is_ssh_key(b"openssh-key-v1\0")
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)

@@ -3,7 +3,10 @@
 Base spans come from the fixed patterns. Beside them, encoded candidates are decoded and must have
 the structure of a secret before they are reported: a signed token's header and payload must decode to
 JSON with an algorithm, key material (PEM, base64 or hex) must parse as nested DER whose lengths fill
-it exactly, an SSH key as length-prefixed fields, and base64 or hex text must itself hold a secret.
+it exactly and whose elements are those of a private key, an SSH key as an openssh-key-v1 container with
+its private section, and base64 or hex text must itself hold a secret, at any depth of encoding.
+Public keys, certificates and signatures are none. Candidates have 24 characters or more; tokens are
+three base64url parts joined by dots, whatever their header begins with.
 
 Defined results: null text is empty; an empty text has no spans, and base_sha256 is that of the empty
 string; a repeated row is scanned again; an empty table gives an empty result; extra columns are ignored.
@@ -35,7 +38,7 @@ _KEYS = ("password", "passwd", "secret", "token", "api")
 _ASSIGN = re.compile("(" + "|".join(map(_any_case, _KEYS[:4])) + "|" + _any_case("api") + "_?" + _any_case("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 _HEX = re.compile("[0-9a-f]{24,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_JWT = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 _HEXES = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{24,}|[0-9A-F]{24,})(?![0-9A-Za-z])")
@@ -63,11 +66,15 @@ def unbase64(s: str) -> bytes | None:
         return None
 
 
-def der_items(data: bytes, at: int, end: int, depth: int = 0) -> list[int] | None:
-    """Tags of the elements that fill data[at:end] exactly, nested ones too; None if they don't."""
-    tags: list[int] = []
-    while at < end:
-        if at + 2 > end or depth > 12:
+def der_items(data: bytes) -> list[tuple[int, int, int, int]] | None:
+    """(depth, tag, start, end) of the elements that fill data exactly, nested ones after theirs; None if they don't."""
+    out: list[tuple[int, int, int, int]] = []
+    todo = [(0, 0, len(data))]
+    while todo:
+        depth, at, end = todo.pop()
+        if at == end:
+            continue
+        if at + 2 > end:
             return None
         tag, n = data[at], data[at + 1]
         at += 2
@@ -81,35 +88,57 @@ def der_items(data: bytes, at: int, end: int, depth: int = 0) -> list[int] | Non
                 return None
         if at + n > end:
             return None
-        tags.append(tag)
+        out.append((depth, tag, at, at + n))
+        todo.append((depth, at + n, end))
         if tag & 0x20:
-            inner = der_items(data, at, at + n, depth + 1)
-            if inner is None:
-                return None
-            tags += inner
-        at += n
-    return tags
+            todo.append((depth + 1, at, at + n))
+    return out
+
+
+# DER tags.
+INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 
 
 def is_der_key(data: bytes) -> bool:
-    """One sequence that fills data, of two elements at least, with integers, octets or bits that a key has."""
-    if len(data) < 16 or data[0] != 0x30:
+    """One sequence that fills data and is a private key: PKCS#1 or DSA (a version and numbers), PKCS#8 (version, algorithm,
+    octets), SEC 1 (version, octets) or an encrypted PKCS#8 key (algorithm, octets)."""
+    if len(data) < 16 or data[0] != SEQUENCE:
+        return False
+    items = der_items(data)
+    if not items or [x for x in items if x[0] == 0] != items[:1]:
+        return False
+    top = [x for x in items if x[0] == 1]
+    tags = [t for _, t, _, _ in top]
+    named = lambda x: any(d == 2 and t == OID and x[2] <= p < x[3] for d, t, p, _ in items)
+    long = lambda x, n: x[3] - x[2] >= n
+    if tags == [SEQUENCE, OCTETS]:
+        return named(top[0]) and long(top[1], 16)
+    if tags[:1] != [INTEGER] or data[top[0][2] : top[0][3]] not in (b"\0", b"\1"):
         return False
-    tags = der_items(data, 0, len(data))
-    return bool(tags) and tags.count(0x30) >= 1 and len(tags) >= 3 and (tags.count(2) >= 2 or 6 in tags and (3 in tags or 4 in tags) or 2 in tags and 4 in tags)
+    if tags[1:3] == [SEQUENCE, OCTETS]:
+        return named(top[1]) and long(top[2], 16)
+    if tags[1:2] == [OCTETS]:
+        return long(top[1], 16)
+    return len(tags) >= 6 and set(tags[:6]) == {INTEGER} and long(top[1], 16)
 
 
 def is_ssh_key(data: bytes) -> bool:
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data) and len(fields) < 16:
+    """An openssh-key-v1 container whose lengths fill it: cipher, KDF and its options, public keys, and a private section."""
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic):
+        return False
+    at, fields, keys = len(magic), [], None
+    while at + 4 <= len(data):
         n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
+        at += 4
+        if len(fields) == 3 and keys is None:
+            keys = n
+            continue
+        if at + n > len(data):
             return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(data) and len(fields) >= 2 and bool(re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]))
+        fields.append(n)
+        at += n
+    return at == len(data) and keys is not None and 0 < keys == len(fields) - 4 and fields[-1] >= 16
 
 
 def is_signed_token(s: str) -> bool:
@@ -121,10 +150,19 @@ def is_signed_token(s: str) -> bool:
     return isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(b, dict)
 
 
-def confirmed(text: str, depth: int = 0) -> list[Span]:
-    """Spans that decoding proves to be secrets."""
+def readable(data: bytes) -> str | None:
+    """data as text, if it is UTF-8 without control characters."""
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return text if all(c >= " " or c in "\t\n\r" for c in text) and "\x7f" not in text else None
+
+
+def confirmed(text: str) -> list[Span]:
+    """Spans that decoding proves to be secrets. What decodes to text is searched in turn; it is shorter each time."""
     out: list[Span] = []
-    if "eyJ" in text:
+    if text.count(".") >= 2:
         out += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m.group())]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
@@ -143,10 +181,8 @@ def confirmed(text: str, depth: int = 0) -> list[Span]:
                 out.append(("der", m.start(), m.end()))
             elif is_ssh_key(data):
                 out.append(("ssh", m.start(), m.end()))
-            elif depth < 2 and len(data) >= 16 and all(9 <= c < 127 for c in data):
-                inner = data.decode()
-                if base_spans(inner) or confirmed(inner, depth + 1):
-                    out.append(("encoded", m.start(), m.end()))
+            elif len(data) >= 16 and (inner := readable(data)) is not None and (base_spans(inner) or confirmed(inner)):
+                out.append(("encoded", m.start(), m.end()))
     return out
 
 

@@ -14,7 +14,7 @@ ends inside a tag or an element is read up to its end, but for a script, style o
 what follows as they hold it; an element left out whose end tag is missing leaves out its start tag
 alone; a head without end tag ends at the first tag of a body; text without tags is one block; repeated rows
 are read again; an empty table gives an empty result; extra columns are ignored. Pages of any length
-are read whole; nesting beyond 400 open elements closes the oldest.
+and depth are read whole: what a block keeps of its ancestors is their kinds.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -64,10 +65,43 @@ _AT = {n: i for i, n in enumerate(_NAMES)}
 
 
 class Block:
-    __slots__ = ("text", "path", "words", "linked")
+    """A leaf block: its text, the kinds of its ancestors, the nearest block among them, what their attributes say, its linked characters."""
 
-    def __init__(self, text, path, words, linked):
-        self.text, self.path, self.words, self.linked = text, path, words, linked
+    __slots__ = ("text", "path", "own", "words", "linked")
+
+    def __init__(self, text, path, own, words, linked):
+        self.text, self.path, self.own, self.words, self.linked = text, path, own, words, linked
+
+
+class _Open:
+    """The open elements: a stack, and how often each kind of tag and attribute word is on it."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, frozenset[str]]] = []
+        self.tags: Counter = Counter()
+        self.words: Counter = Counter()
+        self.blocks: list[int] = []
+        self.paragraphs: list[int] = []
+
+    def push(self, tag: str, words: frozenset[str]) -> None:
+        for kind, where in ((tag in BLOCKS, self.blocks), (tag == "p", self.paragraphs)):
+            if kind:
+                where.append(len(self.stack))
+        self.stack.append((tag, words))
+        self.tags[tag] += 1
+        self.words.update(words)
+
+    def pop(self) -> str:
+        tag, words = self.stack.pop()
+        for where in (self.blocks, self.paragraphs):
+            if where and where[-1] == len(self.stack):
+                where.pop()
+        for counts, names in ((self.tags, (tag,)), (self.words, words)):
+            for x in names:
+                counts[x] -= 1
+                if not counts[x]:
+                    del counts[x]
+        return tag
 
 
 def _attr_words(attrs: str) -> frozenset[str]:
@@ -110,7 +144,8 @@ def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks of a page, in order; text of raw elements is left out."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    open_ = _Open()
+    stack = open_.stack
     buf: list[str] = []
     linked = at = 0
     in_link = False
@@ -121,7 +156,8 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(buf))).strip()
         if text:
-            out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(w for _, w in stack)), min(linked, len(text))))
+            own = stack[open_.blocks[-1]][0] if open_.blocks else None
+            out.append(Block(text, frozenset(open_.tags), own, frozenset(open_.words), min(linked, len(text))))
         buf.clear()
         linked = 0
 
@@ -149,10 +185,10 @@ def blocks_of(page: str | None) -> list[Block]:
             if tag in BLOCKS or tag in APART:
                 flush()
             # An end tag closes what is open inside its element; without one it is ignored.
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if tag in open_.tags:
+                while open_.pop() != tag:
                     pass
-                in_link = any(t == "a" for t, _ in stack)
+                in_link = "a" in open_.tags
             continue
         attrs = m["attrs"] or ""
         if tag in FOREIGN and attrs.endswith("/") and not _UNQUOTED.search(attrs):
@@ -176,20 +212,17 @@ def blocks_of(page: str | None) -> list[Block]:
             add(" ")
         if tag in BLOCKS:
             flush()
-            open_tags = [t for t, _ in stack]
             # A block ends an open paragraph, with the inline elements inside it.
-            if "p" in open_tags:
-                k = len(open_tags) - 1 - open_tags[::-1].index("p")
-                if not any(t in BLOCKS for t in open_tags[k + 1 :]):
-                    del stack[k:]
+            if open_.paragraphs and open_.blocks[-1] == open_.paragraphs[-1]:
+                k = open_.paragraphs[-1]
+                while len(stack) > k:
+                    open_.pop()
             for t in CLOSES.get(tag, ()):
                 while stack and stack[-1][0] in CLOSES[tag] | {"a", "b", "i", "span", "em", "strong"} and any(x in CLOSES[tag] for x, _ in stack[-3:]) and t == tag:
-                    stack.pop()
-            in_link = any(t == "a" for t, _ in stack)
+                    open_.pop()
+            in_link = "a" in open_.tags
         if tag not in VOID and not attrs.endswith("/"):
-            stack.append((tag, _attr_words(attrs) if attrs else frozenset()))
-            if len(stack) > 400:
-                del stack[0]
+            open_.push(tag, _attr_words(attrs) if attrs else frozenset())
             in_link = in_link or tag == "a"
     flush()
     return out
@@ -200,11 +233,10 @@ def block_features(blocks: list[Block]) -> list[list[int]]:
     out = []
     for k, b in enumerate(blocks):
         f = [_AT["bias"]]
-        path = set(b.path)
+        path = b.path
         f += [_AT[f"in:{t}"] for t in _TAGS if t in path]
-        own = next((t for t in reversed(b.path) if t in BLOCKS), None)
-        if own and f"own:{own}" in _AT:
-            f.append(_AT[f"own:{own}"])
+        if f"own:{b.own}" in _AT:
+            f.append(_AT[f"own:{b.own}"])
         f += [_AT[f"word:{w}"] for w in b.words]
         n = b.text.count(" ") + 1
         f.append(_AT["words0-3" if n < 4 else "words4-9" if n < 10 else "words10-29" if n < 30 else "words30+"])

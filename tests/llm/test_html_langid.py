@@ -1,5 +1,7 @@
+import html.parser
 import itertools
 import random
+import re
 
 import numpy as np
 
@@ -48,6 +50,52 @@ def test_elements_left_out_do_not_take_the_rest_along():
     assert html_text.main_blocks(page, html_text.trained()) == ["On the tide", "The first paragraph of the page has a fair number of words in it.", "And x comes second, as a sentence of its own here."]
 
 
+class Article(html.parser.HTMLParser):
+    """The blocks of <article>, by the standard library's parser: another way to the text than the operator's."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.blocks, self.now = 0, 0, [], []
+
+    def cut(self):
+        text = re.sub(r"\s+", " ", "".join(self.now)).strip()
+        self.blocks += [text] if text else []
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style")
+        if tag in html_text.BLOCKS:
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCKS:
+            self.cut()
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.now.append(data)
+
+
+def test_pages_by_another_parser(spark, sf):
+    got = {r["page_id"]: r["text"] for r in queries.op8_html_main_text(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        p = Article()
+        p.feed(r["html"])
+        p.close()
+        assert got[r["page_id"]].split("\n") == p.blocks
+
+
+def test_depth_has_no_bound():
+    page = "<main>" + "<div>" * 5000 + "<p>The paragraph lies far below the element that tells that it is the main text of all.</p>"
+    block = html_text.blocks_of(page)[0]
+    assert "main" in block.path and block.own == "p"
+    nested = html_text.blocks_of("<ul class=menu><li>a<ul><li>b</ul>c</ul><p>d <b>e<div>f</div>g")
+    assert [(b.text, b.own, "nav" in b.words) for b in nested] == [("a", "li", True), ("b", "li", True), ("c", "li", True), ("d e", "p", False), ("f", "div", False), ("g", None, False)]
+
+
 def test_pages(spark, sf, odd_dir, empty_dir):
     got = queries.op8_html_main_text(spark, sf).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
@@ -75,7 +123,9 @@ def test_nystrom_with_all_landmarks_is_kernel_ridge():
     rng = random.Random(8)
     make = lambda letters: "".join(rng.choice(letters) for _ in range(60))
     chunks = [("a", make("abcde ")) for _ in range(12)] + [("b", make("cdefg ")) for _ in range(12)]
-    model = langid.fit(chunks, landmarks=24, ridge=0.1)
+    z, root = langid.nystrom([t for _, t in chunks])
+    parts = [langid.normal_sums(chunks[k : k + 7], ["a", "b"], {"a": 1.0, "b": 1.0}, z, root) for k in range(0, 24, 7)]
+    model = langid.solved(["a", "b"], sum(p[0] for p in parts), sum(p[1] for p in parts), z, root, ridge=0.1)
     grams = langid.Grams()
     x = np.zeros((24, langid.SLOTS))
     for k, (_, t) in enumerate(chunks):
@@ -86,3 +136,25 @@ def test_nystrom_with_all_landmarks_is_kernel_ridge():
     alpha = np.linalg.solve(kernel + 0.1 * np.eye(24), y)
     assert np.abs(x @ model.weights - kernel @ alpha).max() < 1e-3
     assert grams(langid.codes_of("ab")[0]).size == 3 and grams(langid.codes_of("abab")[0]).size == 2 + 2 + 2 + 1
+
+
+def test_query_by_hand(spark):
+    """Every text scored alone: the sum over its chunks of kernels with the landmarks, by the folded weights."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model, grams = langid.train(docs), langid.Grams()
+    got = {r["doc_id"]: r for r in queries.op10_language_id(spark, d).collect()}
+    for i, t in docs.select("doc_id", "text").collect():
+        c, is_letter = langid.codes_of(t)
+        sums = np.zeros(len(model.langs))
+        for at in range(0, len(c), langid.CHUNK):
+            part = is_letter[at : at + langid.CHUNK].sum()
+            if part:
+                g = grams(c[at : at + langid.CHUNK])
+                sums += part / is_letter.sum() * model.weights[g].astype(float).sum(0) / np.sqrt(len(g))
+        if not is_letter.any():
+            assert got[i]["lang_pred"] == "und"
+            continue
+        e = np.exp(langid.SHARPNESS * (sums - sums.max()))
+        top = np.sort(e)[::-1]
+        assert abs(got[i]["score"] - top[0] / e.sum()) < 1e-3 and (got[i]["lang_pred"] == model.langs[int(e.argmax())] or top[0] - top[1] < 1e-3)

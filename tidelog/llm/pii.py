@@ -3,7 +3,8 @@
 Base spans come from fixed patterns. Beside them a semi-Markov CRF reads the neighbourhood of digits
 and @ signs: features of a whole candidate span (its shape, separators, check digits, the word before
 it) score it as each type, and dynamic programming over segments of at most ``LONGEST`` tokens chooses
-boundaries and types together. A segment is reported if it beats the best reading without it by
+boundaries and types together. An entity is bounded: it has an @ or seven digits, capital letters if any
+(but for emails), and fewer than 25 other characters between two of its digits. A segment is reported if it beats the best reading without it by
 ``MARGIN`` and touches no base span. The model is trained here, on sentences made by rule
 (``training_sentences``), by stochastic gradients of the conditional likelihood.
 

@@ -26,28 +26,12 @@ from .common import parts, text_of
 
 SAMPLES = 64
 #: Ranges of doc_id: about so many rows each, at most so many ranges.
-RANGE_ROWS, MAX_RANGES = 2_000, 10_000
+RANGE_ROWS, MAX_RANGES = 2_000, 100_000
 _LEAST = -(1 << 63)
 
 
-def gamma_logs(steps: int = 512) -> np.ndarray:
-    """ln of Gamma(2, 1) at the middles of equal shares: the roots of 1 - (1 + x) e^-x = u, by bisection.
-
-    A small ln a needs a large r, not a small c, so steps do for c; r is drawn exactly.
-    """
-    u = (np.arange(steps) + 0.5) / steps
-    lo, hi = np.zeros(steps), np.full(steps, 40.0)
-    for _ in range(60):
-        x = (lo + hi) / 2
-        low = 1 - (1 + x) * np.exp(-x) < u
-        lo, hi = np.where(low, x, lo), np.where(low, hi, x)
-    return np.log((lo + hi) / 2)
-
-
 def samples(term: Column, weight_log: Column, draws: int = SAMPLES) -> list[Column]:
     """The draws of a weighted term as longs: value in the high half, sample id in the low; the least wins."""
-    logs = gamma_logs()
-    table = F.split(F.lit(",".join(f"{v:.9g}" for v in logs)), ",").cast("array<double>")
     low = lambda h, n: h.bitwiseAND(F.lit((1 << n) - 1))
     out = []
     for k in range(draws):
@@ -55,8 +39,8 @@ def samples(term: Column, weight_log: Column, draws: int = SAMPLES) -> list[Colu
         g = F.xxhash64(h)
         # Gamma(2, 1) is the sum of two exponential variates.
         r = -F.ln((low(h, 32) + F.lit(0.5)) * (F.shiftrightunsigned(h, 32) + F.lit(0.5)) * F.lit(2.0**-64))
-        c = F.get(table, low(g, 9).cast("int"))
-        b = F.shiftrightunsigned(g, 9) * F.lit(2.0**-55)
+        c = F.ln(-F.ln((low(g, 22) + F.lit(0.5)) * (F.shiftrightunsigned(g, 42) + F.lit(0.5)) * F.lit(2.0**-44)))
+        b = low(F.shiftrightunsigned(g, 22), 20) * F.lit(2.0**-20)
         t = F.floor(weight_log / r + b)
         value = F.floor((c - r * (t - b + 1) + 64) * F.lit(float(1 << 24)))
         sample = low(term.bitwiseXOR(t * F.lit(0x9E3779B1)), 32)

@@ -34,7 +34,7 @@ def standing(cursors: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per cursor: consumed and behind chunks, bytes behind, lag in ms, and the gap if its position is gone."""
     # Cursors and chunks in one order, a cursor before the chunk at its position: a running count and sum, not a row for each pair.
     none = F.lit(None)
-    marks = cursors.select("store_id", (F.col("seq") * 2).alias("at"), F.struct("consumer", "seq", "n", "wl").alias("cursor"), F.lit(0).alias("one"), F.lit(0).cast("long").alias("bytes"))
+    marks = cursors.select("store_id", (F.coalesce("seq", F.lit(0)) * 2).alias("at"), F.struct("consumer", "seq", "n", "wl").alias("cursor"), F.lit(0).alias("one"), F.lit(0).cast("long").alias("bytes"))
     kind = marks.schema["cursor"].dataType
     steps = chunks.select("store_id", (F.col("seq") * 2 + 1).alias("at"), none.cast(kind).alias("cursor"), F.lit(1).alias("one"), F.col("uncomp_len").cast("long").alias("bytes"))
     passed = scanned(marks.unionByName(steps), sums={"consumed": F.col("one"), "read": F.col("bytes")}, order="at").where("cursor is not null")

@@ -384,3 +384,33 @@ def test_cursors_that_cannot_be_read_are_counted(spark, tmp_path):
     assert bad == 2 and got.count() == 2 and [r["consumer"] for r in standing.at_stores(got, stores).collect()] == ["a"]
     followers = spark.createDataFrame([("f", "s", True, 4)], "name string, store_id string, retaining boolean, seq long")
     assert standing.interest_floor(followers, stores).first()["floor"] == 4 and standing.interest_floor(followers, stores, unreadable=1).first()["floor"] is None
+
+
+def test_a_very_common_line_is_a_bag_too(spark, monkeypatch):
+    from tidelog.operators import ingest, joins
+
+    rng = random.Random(9)
+    held = [("s", rng.choice(["beat", "beat", "a", "b"]), k) for k in range(300)]
+    src = [("s", k, rng.choice(["beat", "beat", "a", "c"]), k // 2) for k in range(700)]
+    left = {}
+    for _, line, _ in held:
+        left[line] = left.get(line, 0) + 1
+    want = []
+    for _, k, line, eff in src:
+        if eff > 299 or left.get(line, 0) == 0:
+            want.append(k)
+        else:
+            left[line] -= 1
+    for bound in (1e9, 0.1):
+        monkeypatch.setattr(joins, "HOT_SHARE", bound)
+        got = ingest.overlap_dedup(spark.createDataFrame(src, "store_id string, pos long, line string, eff_ms long"), spark.createDataFrame(held, "store_id string, line string, eff_ms long"))
+        assert sorted(r["pos"] for r in got.collect()) == want
+
+
+def test_hot_keys_join_as_others(spark):
+    from tidelog.operators.joins import join_hot
+
+    left = spark.createDataFrame([("h" if k % 3 else f"k{k}", k) for k in range(4000)], "key string, v long")
+    right = left.groupBy("key").agg(F.count("*").alias("rows"), F.min("v").alias("low"))
+    got = join_hot(left, right, "key", "rows").collect()
+    assert sorted((r["v"], r["low"]) for r in got) == [(k, 1 if k % 3 else k) for k in range(4000)]

@@ -17,25 +17,26 @@ ENTRY_CAP = 16 << 20
 LEADING_LINES = 1_000
 
 
-def scanned(df: DataFrame, lasts: dict[str, Column] | None = None, sums: dict[str, Column] | None = None, maxs: dict[str, Column] | None = None, key: str = "store_id", order: str = "line_no", block: int = BLOCK, dealt: bool = False) -> DataFrame:
+def scanned(df: DataFrame, lasts: dict[str, Column] | None = None, sums: dict[str, Column] | None = None, maxs: dict[str, Column] | None = None, key: str | list[str] = "store_id", order: str = "line_no", block: int = BLOCK, dealt: bool = False) -> DataFrame:
     """df with, in order within key, the last non-null value up to each row (lasts), the sum up to it (sums) and the greatest (maxs).
 
     Rows meet once, by key and block; a row per block carries over. dealt: df lies by key and
     __block already, as scanned returns it.
     """
     lasts, sums, maxs = lasts or {}, sums or {}, maxs or {}
+    keys = [key] if isinstance(key, str) else list(key)
     base = df.withColumns({f"__v_{n}": v for n, v in {**lasts, **sums, **maxs}.items()})
     if not dealt:
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        base = base.withColumn("__block", F.floor(F.col(order) / block)).repartition(n, key, "__block")
-    inside = Window.partitionBy(key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        base = base.withColumn("__block", F.floor(F.col(order) / block)).repartition(n, *keys, "__block")
+    inside = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     own = {n: F.last(f"__v_{n}", ignorenulls=True).over(inside) for n in lasts} | {n: F.sum(f"__v_{n}").over(inside) for n in sums} | {n: F.max(f"__v_{n}").over(inside) for n in maxs}
     per = [F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col(order))).alias(f"__b_{n}") for n in lasts] + [F.sum(f"__v_{n}").alias(f"__b_{n}") for n in sums] + [F.max(f"__v_{n}").alias(f"__b_{n}") for n in maxs]
-    blocks = base.groupBy(key, "__block").agg(*per)
+    blocks = base.groupBy(*keys, "__block").agg(*per)
     carry = {f"__c_{n}": F.last(f"__b_{n}", ignorenulls=True).over(before) for n in lasts} | {f"__c_{n}": F.sum(f"__b_{n}").over(before) for n in sums} | {f"__c_{n}": F.max(f"__b_{n}").over(before) for n in maxs}
-    blocks = blocks.select(key, "__block", *[c.alias(n) for n, c in carry.items()])
-    out = base.withColumns({f"__o_{n}": c for n, c in own.items()}).join(blocks, [key, "__block"])
+    blocks = blocks.select(*keys, "__block", *[c.alias(n) for n, c in carry.items()])
+    out = base.withColumns({f"__o_{n}": c for n, c in own.items()}).join(blocks, [*keys, "__block"])
     found = {n: F.coalesce(f"__o_{n}", f"__c_{n}") for n in lasts} | {n: F.coalesce(f"__o_{n}", F.lit(0)) + F.coalesce(f"__c_{n}", F.lit(0)) for n in sums} | {n: F.greatest(f"__o_{n}", f"__c_{n}") for n in maxs}
     return out.select(*df.columns, *[c.alias(n) for n, c in found.items()], *([] if "__block" in df.columns else ["__block"]))
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..files import saved
+from .entries import scanned
+from .joins import join_hot
+
 
 def overlap_dedup(source: DataFrame, stored: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """Lines of source that the overlap with stored does not hold: a bag difference in order.
@@ -20,10 +24,12 @@ def overlap_dedup(source: DataFrame, stored: DataFrame, chunks: DataFrame | None
         starts = source.groupBy("store_id").agg(F.min_by("eff_ms", F.when(F.col("eff_ms").isNotNull(), F.col("pos"))).alias("__start"))
         first = chunks.join(starts, "store_id").where(F.col("last_write_ms") >= F.col("__start")).groupBy("store_id").agg(F.min("seq").alias("__first"))
         overlap = stored.join(first, "store_id").where(F.col("chunk_seq") >= F.col("__first"))
-    held = overlap.groupBy("store_id", "line").agg(F.count("*").alias("__held"))
-    copies = Window.partitionBy("store_id", "line").orderBy("pos")
-    numbered = source.withColumn("__copy", F.row_number().over(copies))
-    out = numbered.join(held, ["store_id", "line"], "left").join(ends, "store_id", "left")
+    # Only lines that the overlap holds are numbered; a very common one is joined where it lies and numbered in blocks.
+    key = ["store_id", "line"]
+    held = overlap.groupBy(*key).agg(F.count("*").alias("__held")).join(source.groupBy(*key).agg(F.count("*").alias("__rows")), key)
+    met = join_hot(source, saved(held, "held"), key, "__rows")
+    copies = scanned(met.where("__held is not null"), sums={"__copy": F.lit(1)}, key=key, order="pos").drop("__block")
+    out = copies.unionByName(met.where("__held is null").withColumn("__copy", F.lit(1).cast("long"))).join(ends, "store_id", "left")
     new = (F.col("__copy") > F.coalesce("__held", F.lit(0))) | (F.col("eff_ms") > F.col("__end"))
     return out.where(F.coalesce(new, F.lit(True))).drop("__copy", "__held", "__end")
 

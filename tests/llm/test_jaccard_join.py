@@ -52,8 +52,8 @@ def test_against_all_pairs(spark, n, num, den):
     sets = sets_by_hand(texts, n)
     want = components_by_hand(ids, sets, num, den)
     docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
-    for limit in (10**6, 1500):  # the small limit takes the Voronoi and block paths
-        got = {r[0]: (r[1], r[2]) for r in jj.join_components(docs, n, num, den, limit).collect()}
+    for limit, vectors in ((10**6, 1000), (1500, 3)):  # the small limits take the distributed Voronoi and block paths
+        got = {r[0]: (r[1], r[2]) for r in jj.join_components(docs, n, num, den, limit, vectors).collect()}
         assert got == {i: (len(s), c) for i, s, c in zip(ids, sets, want)}
 
 
@@ -80,20 +80,79 @@ def test_cells_recurse_exactly():
                 assert forest.find(i) == forest.find(j)
 
 
-def test_segments_meet_for_every_linked_pair():
+def test_prefixes_meet_for_every_linked_pair():
     rng = np.random.default_rng(9)
-    classes = jj.Classes(90, 100)
-    for _ in range(400):
-        a = np.unique(rng.integers(0, 2**63, rng.integers(9, 200), dtype=np.uint64))
-        b = a.copy()
-        while True:
-            c = np.unique(np.concatenate((np.delete(b, rng.integers(len(b))), rng.integers(0, 2**63, rng.integers(0, 2), dtype=np.uint64))))
-            both = len(np.intersect1d(a, c))
-            if 100 * both < 90 * (len(a) + len(c) - both):
-                break
-            b = c
-        if len(a) != len(b) or (a != b).any():
-            assert set(jj.segments(a, classes).tolist()) & set(jj.segments(b, classes).tolist())
+    for num, den in ((90, 100), (8, 10)):
+        often = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+        prefixes = jj.Prefixes(num, den, often)
+        for _ in range(300):
+            a = np.unique(np.concatenate((rng.integers(0, 2**63, rng.integers(5, 200), dtype=np.uint64), rng.choice(often, rng.integers(0, 200)))))
+            b = a.copy()
+            while True:
+                c = np.unique(np.concatenate((np.delete(b, rng.integers(len(b))), rng.integers(0, 2**63, rng.integers(0, 3), dtype=np.uint64))))
+                both = len(np.intersect1d(a, c))
+                if den * both < num * (len(a) + len(c) - both):
+                    break
+                b = c
+            if len(a) != len(b) or (a != b).any():
+                (k, h, _), (m, g, _) = prefixes(a), prefixes(b)
+                met = set(k.tolist()) & set(m.tolist())
+                assert met & (set(k[h].tolist()) | set(m[g].tolist()))
+                ok = jj._may_link(np.array([len(a), len(b)]), [jj.vector(a).tobytes(), jj.vector(b).tobytes()], num, den)
+                assert ok.all()
+
+
+def test_vectors_fold_to_lower_bounds():
+    rng = np.random.default_rng(4)
+    for n in (10, 3000, 90_000):
+        a, b = (np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for _ in range(2))
+        b[: n // 2] = a[: n // 2]
+        b = np.unique(b)
+        va, vb = (jj.folded(jj.vector(x), 16).astype(int) for x in (a, b))
+        use = (va < 255) & (vb < 255)
+        assert np.abs(va - vb)[use].sum() <= len(np.setxor1d(a, b))
+
+
+def test_shingles_are_those_of_the_words():
+    texts = ["", None, " \t", "One", "one two", "a b c d e f", "A\x0bB\x0cc d\u00a0e É é 漢字 d\u00a0e É", "x" * 90 + " " + "yz " * 300, *corpus(1)[:40]]
+    for n in (1, 3, 5):
+        sets = sets_by_hand(texts, n)
+        known = {}
+        for group in (16, 1 << 19):
+            got = list(jj.shingle_sets(texts, n, group))
+            assert [len(x) for x in got] == [len(x) for x in sets]
+            for x, w in zip(got, sets):
+                assert (np.sort(x) == x).all() and known.setdefault(w, x.tobytes()) == x.tobytes()
+    raw = " ".join(t or "" for t in texts).encode()
+    assert (jj.word_hashes(raw)[0] == jj.word_hashes(raw, 50)[0]).all() and len(jj.word_hashes(raw)[0]) == len(raw.split())
+
+
+def test_misra_gries_keeps_what_is_frequent():
+    rng = np.random.default_rng(2)
+    f = jj.Frequent(64)
+    for _ in range(300):
+        f.add(np.unique(np.concatenate((np.arange(20, dtype=np.uint64), rng.integers(100, 2**40, 80, dtype=np.uint64)))))
+    f.merge()
+    assert len(f.keys) <= 64 and set(range(20)) <= set(f.keys.tolist())
+
+
+def test_pivots_make_regions(spark):
+    """Regions have pivots, boundary documents are in several, and memory regions split and copy too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    _, often = jj.doc_sets(docs, 3)
+    met = jj.regions(docs, often, 3, 90, 100).collect()
+    assert len({r["cell"] for r in met}) > 10 and len(met) > len({r["node"] for r in met})
+    rng = np.random.default_rng(1)
+    base = [np.unique(rng.integers(0, 2**60, 150, dtype=np.uint64)) for _ in range(6)]
+    sets = []
+    for k in range(300):
+        s = base[k % 6].copy()
+        s[rng.integers(0, 150, rng.integers(0, 12))] += np.uint64(k + 1)
+        sets.append(np.unique(s))
+    sets += [np.unique(np.concatenate((base[0][:110], base[1][:40])))]
+    cell = jj._Cell(sets, 90, 100)
+    cell.run(np.arange(len(sets)))
+    assert cell.counted[0] > 6 and cell.counted[1] > 6
 
 
 def test_query(spark, sf, odd_dir, empty_dir):

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import math
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import saved, shared_dir
+from ..operators.joins import join_hot
+
+__all__ = ["join_hot", "saved", "shared_dir"]
+
 #: The white space that the contracts name: space, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,31 +20,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Ids that a broadcast may hold (16 MB); beyond it joins shuffle.
 BROADCAST_IDS = 1_000_000
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="tidelog-"))
-    return _own_dir[0]
+#: What an operator keeps in a Python worker between tasks, by the operator's name: how to let it go.
+kept: dict[str, Callable[[], None]] = {}
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, so that shuffle files of plans that are done go from the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def alone(owner: str) -> None:
+    """Called as a task of owner begins: a worker serves operators in turn, and what others keep in it goes."""
+    for name in [n for n in kept if n != owner]:
+        kept.pop(name)()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +47,14 @@ def parts(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
 
 
+def broadcastable(rows: int) -> bool:
+    """Whether a side of so many rows of ids or numbers may be broadcast."""
+    return rows <= BROADCAST_IDS
+
+
 def only_ids(df: DataFrame, ids: DataFrame, keep: bool, count: int) -> DataFrame:
     """Rows of df whose doc_id is (keep) or is not in ids; ids are broadcast up to BROADCAST_IDS, shuffled beyond."""
-    side = F.broadcast(ids) if count <= BROADCAST_IDS else ids
+    side = F.broadcast(ids) if broadcastable(count) else ids
     return df.join(side, "doc_id", "left_semi" if keep else "left_anti")
 
 
@@ -71,17 +62,23 @@ def components(edges: DataFrame, name: str = "cc", a: str = "a", b: str = "b") -
     """(node, component) for every node of undirected edges; component is the least node reached.
 
     Alternating large-star and small-star rounds, each written to the shared folder: a number of
-    rounds that grows with the logarithm of the longest path, and never a component in one task.
+    rounds that grows with the logarithm of the longest path, and never a component in one task;
+    the edges of a hub are joined where they lie.
     """
     sign = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+    ends = lambda p, q: F.explode(F.array(F.struct(F.col(p).alias("v"), F.col(q).alias("u")), F.struct(F.col(q).alias("v"), F.col(p).alias("u")))).alias("e")
     cur, before = saved(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("v < u").distinct(), name), None
     while True:
-        both = cur.unionAll(cur.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m0")).select("v", F.least("v", "m0").alias("m"))
-        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        ends = F.explode(F.array(F.struct("m", F.col("v").alias("x")), F.struct("m", F.col("u").alias("x")))).alias("e")
-        cur = saved(large.join(low, "v").select(ends).select(F.col("e.m").alias("v"), F.col("e.x").alias("u")).where("v < u").distinct(), name)
+        both = cur.select(ends("v", "u")).select("e.*")
+        least = both.groupBy("v").agg(F.min("u").alias("m0"), F.count("*").alias("rows")).select("v", F.least("v", "m0").alias("m"), "rows")
+        # Each greater neighbour of a node goes to its least one: large-star.
+        large = join_hot(both, saved(least, f"{name}-least"), "v", "rows").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        large = saved(large.distinct(), f"{name}-large")
+        # Small-star: a node and its lesser neighbours go to the least of them; a node has few after the first rounds.
+        low = saved(large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("rows")), f"{name}-low")
+        pair = F.explode(F.array(F.struct("m", F.col("v").alias("x")), F.struct("m", F.col("u").alias("x")))).alias("e")
+        cur = join_hot(large, low, "v", "rows").select(pair).select(F.col("e.m").alias("v"), F.col("e.x").alias("u")).where("v < u").distinct()
+        cur = saved(cur, name)
         now = sign(cur)
         if now == before:
             break

@@ -2,22 +2,25 @@
 
 Documents are sets of hashed word shingles; Jaccard distance 1 - J is a metric. The join is exact:
 
-1. Top regions. Unrelated documents all lie at distance near 1 from each other and from any pivot,
-   where triangle windows exclude nothing, so documents with no possible partner are set apart
-   first: sets of sizes a and b link only if they differ in at most (a + b)(1 - t)/(1 + t)
-   shingles; cut the hash space in more ranges than that and some range must be equal in both.
-   Equal ranges meet in a shuffle, and a region is a connected component of such meetings; ranges of
-   one or two shingles, which a common line fills, are cells of their own where they span regions.
-2. Voronoi regions. A region beyond ``REGION_SHINGLES`` gets pivots; a document goes to the cell of
-   its nearest pivot and is copied to the cell of each pivot q with d(x, q) <= d(x, p) + 2 eps, so by
-   the triangle inequality every linked pair meets in one cell. Cells still too large are dealt
-   into blocks, each pair of which meets once.
-3. In a cell the same step recurses over pivots; small cells compare documents whose distances
-   to all pivots of the cell differ by at most eps. Pairs in one component already are skipped.
-
-Links are confirmed with whole integers on the sets. A cell returns a spanning forest of its
+1. Pivots. All shingles have one order: frequent ones (a bounded list, by Misra-Gries counts over all
+   documents) last, the rest by hash. Of two linked sets the prefixes in that order share a shingle, so
+   documents meet by prefix shingle and size class; at each meeting the document of the least hash is
+   the pivot. A document belongs to the region of each pivot that it meets and is copied to all of them,
+   so every linked pair lies in one region. Documents that meet none are done.
+2. Windows over counts. Folded to counters, a set is a short vector, and the L1 distance of two vectors never
+   exceeds the symmetric difference of their sets. In a region the documents that this bound and
+   the window of sizes leave without a partner go before any set is sent.
+3. Voronoi regions. A region of more than ``REGION_SHINGLES`` shingles gets pivots from a table, in
+   tasks dealt by salt; a document goes to the cell of its nearest pivot and is copied to the cell of
+   each pivot q with d(x, q) <= d(x, p) + 2 eps, so by the triangle inequality every linked pair meets
+   in one cell. Cells of one component are done; the others are split again. Cells that pivots cannot
+   split, whose documents all lie alike from them, meet in pairs of blocks.
+4. In memory a region recurses over pivots in the same way; where windows would copy a document more
+   than ``COPIES`` times on average, it compares those whose distances to all pivots differ by at most eps.
+
+Links are confirmed with whole integers on the sets. A region returns a spanning forest of its
 links, so that large groups of copies never become all their pairs; components are then joined
-across cells. Shingles are 64-bit hashes of the words.
+across regions. Shingles are 64-bit hashes of the words.
 
 Defined results: only A-Z is lower-cased; null text, empty text and text of white space have the empty
 set, are linked with nothing and are their own component; fewer words than n form one shingle;
@@ -37,161 +40,353 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, components, only_ids, parts, release, saved
+from .common import alone, broadcastable, components, join_hot, only_ids, parts, saved
 
-#: Shingles (8 bytes each) that one in-memory cell may hold.
+#: Shingles (8 bytes each) that one in-memory region may hold.
 REGION_SHINGLES = 4_000_000
-#: Shingles from which an equal range joins its documents to one region. Smaller ranges, often one common
-#: line, would chain all regions together; each of them is a cell of its own.
-STRONG = 3
+#: Documents of a region whose vectors one task compares; larger regions keep all of theirs.
+REGION_VECTORS = 5_000
+#: Counters that a task compares at a time; of longer vectors neighbours are summed first.
+VECTOR_CELLS = 4_000_000
 #: Pivots of a region that is split before the in-memory step.
 SPLIT_PIVOTS = 16
-CACHE_WORDS = 150_000
+#: Counters of a Misra-Gries summary, and the most shingles that the frequent list holds (8 bytes each, sent to every task).
+COUNTERS = 8_192
+#: Copies of a document, on average, beyond which an in-memory region is not split further.
+COPIES = 2.0
+#: Tasks among which a frequent shingle's documents are dealt.
+SALTS = 64
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-@lru_cache(1)
-def _words() -> _Words:
-    return _Words()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x = x * _M2
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles of text."""
-    # bytes.lower() and bytes.split() know ASCII only: A-Z, and the six white space characters.
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
-    m = max(1, len(h) - n + 1)
-    out = np.full(m, len(h) if len(h) < n else n, np.uint64)
-    for k in range(min(n, len(h))):
+#: White space ends words: space, tab, line feed, vertical tab, form feed, return.
+_IS_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_BYTES = _mix(_mix(np.arange(1, 257, dtype=np.uint64) * _M1) * _M3) | np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and of its inverse, n of each."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def word_hashes(raw: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(a 64-bit hash of each word of lower-cased text, where it starts), in order: differences of running sums over its bytes.
+
+    Text is read in pieces of so many bytes, each cut at white space, so that memory does not grow with it.
+    """
+    b = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff(_IS_SPACE[b], prepend=True, append=True))
+    start, end = edge[0::2], edge[1::2]
+    out, k = np.empty(len(start), np.uint64), 0
+    while k < len(start):
+        at = int(start[k])
+        j = max(k + 1, int(np.searchsorted(end, at + piece, side="right")))
+        part = b[at : int(end[j - 1])]
+        up, down = _powers(max(piece, len(part)))
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * up[: len(part)], out=run[1:])
+        out[k:j] = (run[end[k:j] - at] - run[start[k:j] - at]) * down[start[k:j] - at]
+        k = j
+    return _mix(out * _M2 + (end - start).astype(np.uint64)), start
+
+
+def _chained(h: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Hashes of the runs of n words of h; size is what a run counts as."""
+    m = len(h) - n + 1
+    out = np.full(m, size, np.uint64)
+    for k in range(n):
         out = _mix(out * _M1 + h[k : k + m])
-    out.sort()
-    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+    return out
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))]
+
+
+def shingle_sets(texts, n: int, group: int = 1 << 19) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the n-word shingles of each text; texts are hashed a group of bytes at a time."""
+
+    def sets(raws: list[bytes]) -> Iterator[np.ndarray]:
+        h, start = word_hashes(b"\n".join(raws))
+        ends = np.cumsum([len(r) + 1 for r in raws])
+        cut = np.concatenate(([0], np.searchsorted(start, ends)))
+        runs = _chained(h, n, n) if len(h) >= n else None
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if b - a >= n:
+                yield _distinct(runs[a : b - n + 1])
+            else:
+                yield _chained(h[a:b], b - a, b - a) if b > a else np.empty(0, np.uint64)
+
+    waiting, held = [], 0
+    for t in texts:
+        # bytes.lower() knows ASCII only.
+        raw = (t or "").encode("utf-8", "surrogatepass").lower()
+        waiting.append(raw)
+        held += len(raw)
+        if held >= group:
+            yield from sets(waiting)
+            waiting, held = [], 0
+    if waiting:
+        yield from sets(waiting)
 
 
 def digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-class Classes:
-    """Size classes for threshold num/den: a linked pair lies in one class or in two that adjoin."""
+def _node(d: bytes) -> int:
+    return int.from_bytes(d[:8], "little", signed=True)
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        # The smallest set that can link with a different one: |x| / (|x| + 1) >= t.
-        self.least = max(1, -(-num // max(1, den - num)))
-        self.starts = [self.least]
-        self.known: dict[int, tuple[int, int]] = {}
 
-    def of(self, size: int) -> int:
-        while self.starts[-1] <= size:
-            self.starts.append(self.starts[-1] * self.den // self.num + 1)
-        return int(np.searchsorted(self.starts, size, side="right")) - 1
+def vector(s: np.ndarray) -> np.ndarray:
+    """Counts of s in equal ranges of its mixed hashes: a power of two of them, about one for six shingles.
 
-    def ranges(self, j: int) -> tuple[int, int]:
-        """(ranges, spare) for pairs whose larger set is in class j: the most they can differ in, one more, and the spare.
-
-        The spare is what a set of the next smaller class has in empty ranges, hardly ever more.
-        """
-        if j not in self.known:
-            while len(self.starts) <= j + 1:
-                self.of(self.starts[-1])
-            differ = 2 * (self.starts[j + 1] - 1) * (self.den - self.num) // (self.den + self.num)
-            spare = 1
-            for _ in range(30):
-                b = differ + 1 + spare
-                empty = b * math.exp(-self.starts[max(0, j - 1)] / b)
-                spare = math.ceil(empty + 3 * math.sqrt(empty) + 1)
-            self.known[j] = (differ + 1 + spare, spare)
-        return self.known[j]
-
-
-def segments(s: np.ndarray, classes: Classes) -> np.ndarray:
-    """Hashes of the ranges of s, for its own size class and the next; odd for ranges of less than STRONG shingles.
-
-    A draw with more empty ranges than the spare could hide a pair behind them; then the set also joins
-    the next draw, whose ranges are those of rehashed shingles. The set of a pair that stops first has
-    a draw in which one equal range, at least, holds shingles; the other set is in that draw too.
+    Half as many ranges are the sums of neighbours. Counts stop at 255, which stands for any number.
     """
-    if len(s) < classes.least:
-        return np.empty(0, np.uint64)
-    out = []
-    j0 = classes.of(len(s))
-    for j in (j0, j0 + 1):
-        (b, spare), x, draw = classes.ranges(j), s, 0
-        while True:
-            edges = (np.arange(1, b, dtype=np.float64) * (2.0**64 / b)).astype(np.uint64)
-            cut = np.concatenate(([0], np.searchsorted(x, edges), [len(x)]))
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(x + _M3))))
-            n = np.diff(cut).astype(np.uint64)
-            sums = total[cut[1:]] - total[cut[:-1]]
-            tag = _mix(np.arange(b, dtype=np.uint64) + np.uint64((j << 40) + (draw << 32)) + _M1)
-            sig = _mix((sums ^ tag) * _M1 + n)
-            out.append(np.where(n < STRONG, sig | np.uint64(1), sig & ~np.uint64(1))[n > 0])
-            if int((n == 0).sum()) <= spare:
-                break
-            draw += 1
-            x = np.sort(_mix(s * _M3 + np.uint64(draw)))
-    return np.concatenate(out)
+    bits = max(4, math.ceil(math.log2(max(1, len(s)) / 6)))
+    return np.minimum(np.bincount((_mix(s ^ _M3) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
-def _node(d: bytes) -> int:
-    return int.from_bytes(d[:8], "little", signed=True)
+def folded(v: np.ndarray, size: int) -> np.ndarray:
+    v = v.astype(np.int32)
+    while len(v) > size:
+        top = (v[0::2] >= 255) | (v[1::2] >= 255)
+        v = np.where(top, 255, np.minimum(v[0::2] + v[1::2], 255))
+    return v
+
+
+# ---- the order of shingles, prefixes and size classes -----------------------------------------
+
+
+class Frequent:
+    """A Misra-Gries summary of shingles, kept as sorted arrays; waits until several summaries' worth is at hand."""
+
+    def __init__(self, counters: int = COUNTERS):
+        self.counters, self.waiting, self.held = counters, [], 0
+        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def add(self, s: np.ndarray) -> None:
+        self.waiting.append(s)
+        self.held += len(s)
+        if self.held > 64 * self.counters:
+            self.merge()
 
+    def merge(self) -> None:
+        new, n = np.unique(np.concatenate(self.waiting), return_counts=True) if self.waiting else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        self.waiting, self.held = [], 0
+        keys, at = np.unique(np.concatenate((self.keys, new)), return_inverse=True)
+        counts = np.bincount(at, np.concatenate((self.counts, n)), len(keys)).astype(np.int64)
+        if len(keys) > self.counters:
+            counts = counts - np.partition(counts, -self.counters - 1)[-self.counters - 1]
+        self.keys, self.counts = keys[counts > 0], counts[counts > 0]
 
-def doc_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, digest) of every document."""
 
+class Prefixes:
+    """Prefix shingles by size class for threshold num/den.
+
+    The smaller of a linked pair shows its head (the first few) to its own class and, where a partner
+    may lie there, to the next; the larger shows its prefix to its own class.
+    """
+
+    def __init__(self, num: int, den: int, frequent: np.ndarray):
+        self.num, self.den, self.frequent = num, den, frequent
+        # The smallest set that can link with a different one: |x| / (|x| + 1) >= t.
+        self.least = max(1, -(-num // max(1, den - num)))
+        self.starts = [self.least]
+        self.tags: dict[int, np.ndarray] = {}
+
+    def of(self, size: int) -> int:
+        while self.starts[-1] <= size:
+            self.starts.append(self.starts[-1] * self.den**2 // self.num**2 + 1)
+        return int(np.searchsorted(self.starts, size, side="right")) - 1
+
+    def tag(self, k: int) -> np.ndarray:
+        if k not in self.tags:
+            self.tags[k] = _mix(np.array([k], np.uint64) * _M1 + _M3)
+        return self.tags[k]
+
+    def __call__(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, head, frequent) of the meetings that s goes to."""
+        n, num, den = len(s), self.num, self.den
+        if n < self.least:
+            return np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool)
+        at = np.minimum(np.searchsorted(self.frequent, s), max(0, len(self.frequent) - 1))
+        often = self.frequent[at] == s if len(self.frequent) else np.zeros(n, bool)
+        prefix, head = n - -(-num * n // den) + 1, n - -(-2 * num * n // (den + num)) + 1
+        rare = s[~often][:prefix]
+        first = np.concatenate((rare, s[often][: prefix - len(rare)]))
+        hot = np.arange(len(first)) >= len(rare)
+        j = self.of(n)
+        tag = lambda x, k: _mix(x ^ self.tag(k))
+        keys, heads, hots = [tag(first, j)], [np.arange(len(first)) < head], [hot]
+        if den * n >= num * self.starts[j + 1]:
+            keys.append(tag(first[:head], j + 1))
+            heads.append(np.ones(len(first[:head]), bool))
+            hots.append(hot[:head])
+        return np.concatenate(keys), np.concatenate(heads), np.concatenate(hots)
+
+
+def _sets(n: int, counters: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        alone("jaccard_join")
+        often = Frequent(counters)
         for pdf in batches:
-            sets = [shingles(t, n) for t in pdf["text"].array]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [digest(s) if len(s) else None for s in sets]}).astype({"doc_id": "Int64"})
+            ids, size, dig, node, vec = pdf["doc_id"].array, [], [], [], []
+            for s in shingle_sets(pdf["text"].array, n):
+                d = digest(s) if len(s) else None
+                often.add(s)
+                size.append(len(s))
+                dig.append(d)
+                node.append(_node(d) if d else None)
+                vec.append(vector(s).tobytes() if d else None)
+            yield pd.DataFrame({"kind": np.int32(0), "doc_id": ids, "n_shingles": size, "digest": dig, "node": pd.array(node, "Int64"), "vec": vec}).astype({"doc_id": "Int64"})
+        often.merge()
+        m = len(often.keys)
+        yield pd.DataFrame({"kind": np.int32(1), "doc_id": pd.array([None] * m, "Int64"), "n_shingles": often.counts, "digest": None, "node": pd.array(often.keys.view(np.int64), "Int64"), "vec": None})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_shingles long, digest binary")
+    return run
 
 
-def _emit_segments(n: int, num: int, den: int, seen_limit: int = 200_000):
-    def frame(sigs, nodes, counts):
-        return pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "node": np.repeat(np.array(nodes, np.int64), counts)})
+def doc_sets(docs: DataFrame, n: int, counters: int = COUNTERS) -> tuple[DataFrame, DataFrame]:
+    """(sets, frequent): (doc_id, n_shingles, digest, node, vec) of every document, and (shingle, n) of frequent ones."""
+    schema = "kind int, doc_id long, n_shingles long, digest binary, node long, vec binary"
+    both = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_sets(n, counters), schema), "sets")
+    often = both.where("kind = 1").groupBy(F.col("node").alias("shingle")).agg(F.sum("n_shingles").alias("n"))
+    return both.where("kind = 0").drop("kind"), often
 
+
+def _emit(n: int, num: int, den: int, frequent: np.ndarray, seen_limit: int = 200_000):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, seen = Classes(num, den), set()
+        alone("jaccard_join")
+        prefixes, seen = Prefixes(num, den, frequent), set()
         for pdf in batches:
-            sigs, nodes, counts = [], [], []
-            for k, t in enumerate(pdf["text"].array):
-                if k % 1000 == 999 and sigs:
-                    yield frame(sigs, nodes, counts)
-                    sigs, nodes, counts = [], [], []
-                s = shingles(t, n)
-                if len(s) < classes.least:
+            out, held = [], 0
+            for s in shingle_sets(pdf["text"].array, n):
+                if len(s) < prefixes.least:
                     continue
                 node = _node(digest(s))
-                if node in seen:  # a copy: its segments are those already sent by this task
+                if node in seen:  # a copy: what it shows is already sent by this task
                     continue
                 if len(seen) >= seen_limit:
                     seen.clear()
                 seen.add(node)
-                g = segments(s, classes)
-                sigs.append(g)
-                nodes.append(node)
-                counts.append(len(g))
-            if sigs:
-                yield frame(sigs, nodes, counts)
+                keys, head, hot = prefixes(s)
+                out.append((keys, head, np.where(hot, 1 + node % SALTS, 0).astype(np.int32), np.full(len(keys), node, np.int64)))
+                held += len(keys)
+                if held > 200_000:
+                    yield frame(out)
+                    out, held = [], 0
+            if out:
+                yield frame(out)
+
+    def frame(out):
+        keys, head, salt, node = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"sig": keys.view(np.int64), "salt": salt, "node": node, "head": head})
+
+    return run
+
+
+def regions(docs: DataFrame, often: DataFrame, n: int, num: int, den: int, counters: int = COUNTERS) -> DataFrame:
+    """(cell, node): the regions, named by their pivot's node, and the documents in each, pivots too."""
+    spark = docs.sparkSession
+    # At most counters rows: a proven bound for what goes to the driver and to every task.
+    top = often.where("n > 1").orderBy(F.desc("n"), "shingle").limit(counters).select("shingle").collect()
+    frequent = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The filter is the one that the join would add to one side only; with it the sides are one plan.
+    sent = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(_emit(n, num, den, frequent), "sig long, salt int, node long, head boolean").where("sig is not null and salt is not null").repartition(shuffle, "sig", "salt")
+    met = sent.groupBy("sig", "salt").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("head").alias("heads"))
+    cold = met.where("salt = 0 and low < high and heads").select("sig", "salt", F.col("low").alias("cell"))
+    cold = sent.hint("merge").join(cold, ["sig", "salt"]).select("cell", "node")
+    # Keys of frequent shingles: at most counters times the size classes, whatever the number of documents.
+    hot = met.where("salt > 0").groupBy("sig").agg(F.min("low").alias("cell"), F.max("high").alias("high"), F.max("heads").alias("heads")).where("cell < high and heads").select("sig", "cell")
+    hot = sent.where("salt > 0").join(F.broadcast(hot), "sig").select("cell", "node")
+    return cold.unionByName(hot).distinct()
+
+
+# ---- windows over vectors -----------------------------------------------------------------------
+
+
+def _may_link(size: np.ndarray, vecs: list[bytes], num: int, den: int, work: int = 400_000_000) -> np.ndarray:
+    """Which documents of a region may have a partner in it, by size and by the L1 distance of their vectors."""
+    raw = [np.frombuffer(v, np.uint8) for v in vecs]
+    width = min(map(len, raw))
+    while width > 16 and width * len(raw) > VECTOR_CELLS:
+        width //= 2
+    v = np.stack([folded(x, width) for x in raw])
+    full = v >= 255
+    # A full counter stands for any number: it is left out of the distance.
+    v = np.where(full, -1, v)
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        far = np.where(full[rest] | full[i], 0, np.abs(v[rest] - v[i])).sum(1)
+        # Linked sets differ in at most (a + b)(1 - t)/(1 + t) shingles, and in size by the factor t.
+        return ((den + num) * far <= (den - num) * (size[rest] + size[i])) & (den * np.minimum(size[rest], size[i]) >= num * np.maximum(size[rest], size[i]))
+
+    ok = np.zeros(len(size), bool)
+    every = np.arange(len(size))
+    hit = near(0, every)
+    hit[0] = False
+    ok |= hit
+    ok[0] = hit.any()
+    left = np.flatnonzero(~ok)
+    if len(left) * len(size) * width > work:
+        ok[:] = True
+        return ok
+    order = np.argsort(size, kind="stable")
+    for i in left:
+        if ok[i]:
+            continue
+        lo, hi = np.searchsorted(size[order], [-(-num * size[i] // den), den * size[i] // num + 1])
+        rest = order[lo:hi]
+        rest = rest[rest != i]
+        if len(rest):
+            hit = near(i, rest)
+            if hit.any():
+                ok[i] = True
+                ok[rest[hit]] = True
+    return ok
+
+
+def _survivors(num: int, den: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, rows = None, []
+
+        def flush():
+            out = sorted(dict((r[0], r) for r in rows).values(), key=lambda r: (r[0] != key, r[0]))
+            if len(out) < 2:
+                return None
+            ok = np.flatnonzero(_may_link(np.array([r[1] for r in out], np.int64), [r[2] for r in out], num, den))
+            return pd.DataFrame({"cell": np.full(len(ok), key, np.int64), "node": np.array([out[k][0] for k in ok], np.int64)}) if len(ok) else None
+
+        for pdf in batches:
+            done = []
+            for c, i, m, v in zip(pdf["cell"].array, pdf["node"].array, pdf["n"].array, pdf["vec"].array):
+                if c != key:
+                    if len(rows) > 1:
+                        done.append(flush())
+                    key, rows = c, []
+                rows.append((int(i), int(m), v))
+            done = [d for d in done if d is not None]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        last = flush() if len(rows) > 1 else None
+        if last is not None:
+            yield last
 
     return run
 
@@ -217,9 +412,9 @@ class _Forest:
 
 
 class _Cell:
-    """The sets of one region, and the exact join over them."""
+    """The sets of one region, and the exact join over them. counted: pivots, regions and copies of boundary documents."""
 
-    PIVOTS, SMALL = 8, 48
+    PIVOTS = 8
 
     def __init__(self, sets: list[np.ndarray], num: int, den: int):
         self.sets, self.num, self.den = sets, num, den
@@ -233,6 +428,7 @@ class _Cell:
         self.mark = np.zeros(int(self.ids.max()) + 1 if len(ids) else 1, bool)
         self.forest = _Forest(len(sets))
         self.links: list[tuple[int, int]] = []
+        self.counted = [0, 0, 0]
 
     def shared(self, p: int, others: np.ndarray) -> np.ndarray:
         own = self.ids[self.start[p] : self.start[p + 1]]
@@ -256,29 +452,35 @@ class _Cell:
     def roots(self, who: np.ndarray) -> np.ndarray:
         return np.array([self.forest.find(int(x)) for x in who])
 
-    def run(self, who: np.ndarray, depth: int = 0) -> None:
-        if len(who) < 2:
-            return
-        if len(who) <= self.SMALL:
-            return self.compare(who, np.zeros((len(who), 0)))
-        # Farthest-first pivots, the first of them the largest set of the middle size.
+    def run(self, who: np.ndarray) -> None:
+        todo = [who]
+        while todo:
+            who = todo.pop()
+            if len(who) > 1:
+                todo += self.split(who)
+
+    def split(self, who: np.ndarray) -> list[np.ndarray]:
+        """The Voronoi regions of who over farthest-first pivots, the first of middle size; none when its links are found."""
         first = who[np.argsort(self.size[who], kind="stable")[len(who) // 2]]
         pivots, dist = [int(first)], [self.test(int(first), who)]
         near = dist[0].copy()
-        while len(pivots) < self.PIVOTS and near.max() > 2 * self.eps:
+        while len(pivots) < min(self.PIVOTS, len(who) - 1) and near.max() > 2 * self.eps:
             p = int(who[int(near.argmax())])
             pivots.append(p)
             dist.append(self.test(p, who))
             near = np.minimum(near, dist[-1])
         d = np.stack(dist, 1)
-        if len(np.unique(self.roots(who))) == 1:
-            return
+        self.counted[0] += len(pivots)
+        if len(np.unique(self.roots(who))) == 1 or len(pivots) == len(who):
+            return []
         cells = [np.flatnonzero(d[:, k] <= near + 2 * self.eps) for k in range(len(pivots))]
-        if depth < 40 and sum(len(c) for c in cells) <= 1.6 * len(who) and max(len(c) for c in cells) <= 0.8 * len(who):
-            for c in cells:
-                self.run(who[c], depth + 1)
-        else:
-            self.compare(who, d)
+        total = sum(map(len, cells))
+        if total <= COPIES * len(who) and max(map(len, cells)) < len(who):
+            self.counted[1] += len(cells)
+            self.counted[2] += total - len(who)
+            return [who[c] for c in cells]
+        self.compare(who, d)
+        return []
 
     def compare(self, who: np.ndarray, d: np.ndarray) -> None:
         """Each document against those after it in size order that no window excludes."""
@@ -291,9 +493,7 @@ class _Cell:
             if end <= i + 1:
                 continue
             rest = slice(i + 1, end)
-            ok = root[rest] != root[i]
-            if d.shape[1]:
-                ok &= (np.abs(d[rest] - d[i]) <= self.eps).all(1)
+            ok = (root[rest] != root[i]) & (np.abs(d[rest] - d[i]) <= self.eps).all(1)
             pick = np.flatnonzero(ok) + i + 1
             if len(pick):
                 n = len(self.links)
@@ -346,127 +546,148 @@ def _join_cells(num: int, den: int):
 # ---- large regions --------------------------------------------------------------------------
 
 
-def _voronoi(pivots: dict[str, list[bytes]], eps: float):
-    """Cells of each document of a large region: its nearest pivot's, and those within the window."""
+def _voronoi(num: int, den: int):
+    """Rows of (region, salt), its pivots first: links to pivots (other is one), and the cells of each document."""
+    names = ["region", "doc_id", "digest", "n", "other"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = {r: [np.frombuffer(b, np.uint64) for b in bs] for r, bs in pivots.items()}
+        key, pivots, forest, eps = None, [], None, 1 - num / den + 1e-9
         for pdf in batches:
-            cells, at = [], []
-            for k, (r, s) in enumerate(zip(pdf["region"].array, pdf["shingles"].array)):
+            out = []
+            for region, salt, pivot, i, dig, n, s in zip(*(pdf[c].array for c in ("region", "salt", "pivot", "doc_id", "digest", "n", "shingles"))):
+                if (region, salt) != key:
+                    key, pivots, forest = (region, salt), [], _Forest(SPLIT_PIVOTS)
                 x = np.frombuffer(s, np.uint64)
-                d = []
-                for p in sets[r]:
-                    both = len(np.intersect1d(x, p, assume_unique=True))
-                    d.append(1 - both / (len(x) + len(p) - both))
-                for q in np.flatnonzero(np.array(d) <= min(d) + 2 * eps):
-                    cells.append(int(q))
-                    at.append(k)
-            out = pdf.iloc[at].reset_index(drop=True)
-            yield out.assign(cell=[f"{r}/{c}" for r, c in zip(out["region"], cells)])[["cell", "doc_id", "n", "shingles"]]
+                if pivot >= 0:
+                    pivots.append((int(i), x))
+                    continue
+                d, linked = [], None
+                for k, (p, q) in enumerate(pivots):
+                    both = len(np.intersect1d(x, q, assume_unique=True))
+                    union = len(x) + len(q) - both
+                    d.append(1 - both / union)
+                    # Of the pivots that a document links with, those that this task has not joined yet.
+                    if p != i and den * both >= num * union and (linked is None or forest.join(linked, k)):
+                        linked = k if linked is None else linked
+                        out.append((None, i, None, None, p))
+                out += [(f"{region}/{k}", i, dig, n, None) for k, v in enumerate(d) if v <= min(d) + 2 * eps]
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "n": "Int64", "other": "Int64"})
 
     return run
 
 
-def cells_of(placed: DataFrame, body: DataFrame, eps: float, limit: int, count: int) -> DataFrame:
-    """(cell, doc_id, shingles) for placed (region, doc_id, digest, n): every linked pair of a region meets in a cell of bounded size."""
-    schema = "cell string, doc_id long, n long, shingles binary"
-    key, out = ["doc_id", "digest"], ["cell", "doc_id", "n", "shingles"]
-    with_sets = lambda rows: body.drop("n").join(F.broadcast(rows) if count <= BROADCAST_IDS else rows, key)
-    weight = saved(placed.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > limit), "large")
-    n_large = weight.count()
+def cells_of(placed: DataFrame, body: DataFrame, num: int, den: int, limit: int, count: int) -> tuple[DataFrame, DataFrame | None]:
+    """((cell, doc_id, shingles), links) for placed (region, doc_id, digest, n): every linked pair meets in a cell of bounded size, or is joined by links."""
+    key, cols = ["doc_id", "digest"], ["region", "doc_id", "digest", "n"]
+    near = lambda rows, n: F.broadcast(rows) if broadcastable(n) else rows
+    with_sets = lambda rows: body.select(*key, "shingles").join(near(rows, count), key)
+    totals = lambda rows: saved(rows.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > limit), "large")
+    large = totals(placed)
+    n_large = large.count()
     if not n_large:
-        return with_sets(placed).select(F.col("region").alias("cell"), "doc_id", "shingles")
-    small = with_sets(placed.join(weight, "region", "left_anti")).select(F.col("region").alias("cell"), "doc_id", "n", "shingles")
-    big = with_sets(placed.join(weight.select("region"), "region"))
-    # Pivots: in each large region the sets with the least hashes, each a min of its own salt.
-    pick = [F.min_by("shingles", F.xxhash64("doc_id", F.lit(k))).alias(f"p{k}") for k in range(SPLIT_PIVOTS)]
-    if n_large <= 64:
-        pivots = {r[0]: list(dict.fromkeys(bytes(x) for x in r[1:])) for r in big.groupBy("region").agg(*pick).collect()}
-        dealt = saved(big.select("region", "doc_id", "n", "shingles").mapInPandas(_voronoi(pivots, eps), schema), "cells")
-    else:  # more large regions than a driver should hold pivots for: blocks alone
-        dealt = big.select(F.col("region").alias("cell"), "doc_id", "n", "shingles")
-    heavy = saved(dealt.groupBy("cell").agg(F.sum("n").alias("total")).where(F.col("total") > limit).withColumn("blocks", F.ceil(F.col("total") * 2 / limit).cast("int")), "heavy")
-    fine = dealt.join(heavy, "cell", "left_anti")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    blocks = dealt.join(heavy, "cell").withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select(F.concat_ws("/", "cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "doc_id", "n", "shingles")
-    return small.unionByName(fine.select(out)).unionByName(blocks).drop("n")
-
-
-def linked(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, limit: int = REGION_SHINGLES) -> tuple[DataFrame, DataFrame]:
-    """(sets, links): doc_sets saved, and a forest of links (a, b) between the least doc_ids of different sets."""
+        return with_sets(placed).select(F.col("region").alias("cell"), "doc_id", "shingles"), None
+    small = placed.join(near(large, n_large), "region", "left_anti").select(*cols)
+    rows = saved(placed.join(near(large, n_large), "region", "left_semi").select(*cols), "rows0")
+    links, blocks, step = None, None, 0
+    while n_large:
+        step += 1
+        dealt = large.withColumn("salts", F.ceil(F.col("total") / limit).cast("int"))
+        picks = [F.min_by(F.struct(*key, "n"), F.xxhash64("doc_id", F.lit(step), F.lit(k))) for k in range(SPLIT_PIVOTS)]
+        pivots = rows.groupBy("region").agg(F.array_distinct(F.array(*picks)).alias("p")).join(dealt, "region").select("region", "salts", F.posexplode("p").alias("pivot", "p"))
+        pivots = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "pivot", "p.*")
+        salted = rows.join(near(dealt, n_large), "region").select("region", F.pmod(F.xxhash64("doc_id", F.lit(step)), F.col("salts")).cast("int").alias("salt"), F.lit(-1).alias("pivot"), *key, "n")
+        both = body.select(*key, "shingles").join(pivots.unionByName(salted), key)
+        width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts(count, 20_000))
+        order = [F.col("region"), F.col("salt"), F.col("pivot") < 0, F.col("pivot")]
+        found = both.repartition(width, "region", "salt").sortWithinPartitions(*order).mapInPandas(_voronoi(num, den), "region string, doc_id long, digest binary, n long, other long")
+        found = saved(found, f"voronoi{step}")
+        new = found.where("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+        links = new if links is None else saved(links.unionByName(new), "split-links")
+        comp = components(links, "split") if links.limit(1).count() else None
+        spots = found.where("other is null").drop("other")
+        if comp is not None:
+            spots = spots.join(comp, spots["doc_id"] == comp["node"], "left").select(*cols, F.coalesce("component", "doc_id").alias("component"))
+        else:
+            spots = spots.withColumn("component", F.col("doc_id"))
+        # Cells of one component are done; a cell that holds nearly all of its region is not split by pivots.
+        cells = spots.groupBy("region").agg(F.sum("n").alias("total"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").withColumn("parent", F.regexp_replace("region", "/[^/]*$", ""))
+        cells = cells.join(large.select(F.col("region").alias("parent"), F.col("total").alias("before")), "parent").withColumn("stuck", (F.col("total") > limit) & (F.col("total") > 0.9 * F.col("before")))
+        cells = saved(cells.select("region", "total", "stuck"), "cells")
+        spots = saved(spots.join(near(cells, cells.count()), "region").select(*cols, "total", "stuck"), f"rows{step}")
+        small = small.unionByName(spots.where(F.col("total") <= limit).select(*cols))
+        stuck = spots.where("stuck").withColumn("blocks", F.ceil(F.col("total") * 2 / limit).cast("int"))
+        blocks = stuck if blocks is None else blocks.unionByName(stuck)
+        rows = spots.where((F.col("total") > limit) & ~F.col("stuck")).select(*cols)
+        large = totals(rows)
+        n_large = large.count()
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    blocks = blocks.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.select(F.concat_ws("/", "region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), "doc_id", "digest", "n")
+    return with_sets(small.unionByName(blocks)).select(F.col("region").alias("cell"), "doc_id", "shingles"), links
+
+
+def linked(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, limit: int = REGION_SHINGLES, vectors: int = REGION_VECTORS) -> tuple[DataFrame, DataFrame]:
+    """(sets, links): doc_sets, and a forest of links (a, b) between the least doc_ids of different sets."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = saved(doc_sets(docs, n), "sets")
+    sets, often = doc_sets(docs, n)
+    none = spark.createDataFrame([], "a long, b long")
+    met = saved(regions(docs, often, n, num, den), "regions")
+    if met.limit(1).count() == 0:
+        return sets, none
+    reps = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node"), F.first("n_shingles").alias("n"), F.first("vec").alias("vec"))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The filter is the one that the join would add to one side only; with it the sides are one plan.
-    sent = docs.select("text").mapInPandas(_emit_segments(n, num, den), "sig long, node long").where("sig is not null and node is not null").repartition(shuffle, "sig")
-    # Both sides use the one exchange by sig; only (sig, least node) of ranges that meet is joined.
-    met = sent.groupBy("sig").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m < x").select("sig", "m")
-    both = saved(sent.hint("merge").join(met, "sig").select("sig", "node", "m").distinct(), "meetings")
-    del sent, met
-    release(spark)
-    strong = F.col("sig").bitwiseAND(F.lit(1)) == 0
-    stars = both.where(strong & (F.col("node") > F.col("m"))).select(F.col("m").alias("a"), F.col("node").alias("b")).distinct()
-    regions = saved(components(stars, "regions"), "region")
-    # Small ranges: only those that meet across regions can show a pair that no region holds.
-    weak = both.where(~strong).select("sig", "node").join(regions, "node", "left").withColumn("region", F.coalesce("component", "node"))
-    across = weak.groupBy("sig").agg(F.min("region").alias("r0"), F.max("region").alias("r1")).where("r0 < r1").select("sig")
-    places = regions.select("node", F.col("component").alias("region"), F.lit(0).alias("kind")).unionByName(weak.join(across, "sig").select("node", F.col("sig").alias("region"), F.lit(1).alias("kind")))
-    reps = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-    # A cell by name: regions by a node, small ranges by their hash, which is odd.
-    name = F.concat(F.when(F.col("kind") == 0, F.lit("r")).otherwise(F.lit("w")), F.col("region").cast("string"))
-    wanted = saved(reps.withColumn("node", _low64(F.col("digest"))).join(places, "node").select("doc_id", name.alias("region"), "digest"), "wanted")
+    sizes = met.groupBy("cell").agg(F.count("*").alias("docs")).where(F.col("docs") > vectors).select("cell")
+    sizes = saved(sizes, "wide")
+    n_wide = sizes.count()
+    wide = lambda how: met.join(F.broadcast(sizes) if broadcastable(n_wide) else sizes, "cell", how)
+    few = (wide("left_anti") if n_wide else met).join(reps, "node").select("cell", "node", "n", "vec")
+    kept = few.repartition(shuffle, "cell").sortWithinPartitions("cell").mapInPandas(_survivors(num, den), "cell long, node long")
+    if n_wide:
+        kept = kept.unionByName(wide("left_semi"))
+    wanted = saved(kept.join(reps.drop("vec"), "node").select("doc_id", F.col("cell").cast("string").alias("region"), "digest", "n"), "wanted")
     count = wanted.count()
     if not count:
-        return sets, spark.createDataFrame([], "a long, b long")
+        return sets, none
 
     def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            s = [shingles(t, n) for t in pdf["text"].array]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": [digest(x) for x in s], "n": [len(x) for x in s], "shingles": [x.tobytes() for x in s]})
-
-    ids = wanted.select("doc_id").distinct()
-    body = only_ids(docs, ids, True, count).mapInPandas(bodies, "doc_id long, digest binary, n long, shingles binary")
-    body = saved(body, "bodies")
-    # Sets are kept once; each cell's copies are made on the way to the exchange that deals out cells.
-    placed = wanted.join(saved(body.select("doc_id", "digest", "n"), "sizes"), ["doc_id", "digest"])
-    cells = cells_of(placed, body, 1 - num / den, limit, count)
-    width = max(shuffle, parts(count, 20_000))
-    links = cells.repartition(width, "cell").sortWithinPartitions("cell").mapInPandas(_join_cells(num, den), "a long, b long")
-    return sets, saved(links, "links")
+            s = list(shingle_sets(pdf["text"].array, n))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": [digest(x) for x in s], "shingles": [x.tobytes() for x in s]})
 
-
-def _low64(d):
-    """The first eight bytes of a digest as a little-endian signed long, as _node reads them."""
-    h = F.hex(F.substring(d, 1, 8))
-    swapped = F.concat(*[F.substring(h, 15 - 2 * i, 2) for i in range(8)])
-    high = F.conv(F.substring(swapped, 1, 8), 16, 10).cast("long")
-    low = F.conv(F.substring(swapped, 9, 8), 16, 10).cast("long")
-    return F.shiftleft(high, 32).bitwiseOR(low)
+    # Sets are kept once; each region's copies are made on the way to the exchange that deals out regions.
+    body = saved(only_ids(docs, wanted.select("doc_id").distinct(), True, count).mapInPandas(bodies, "doc_id long, digest binary, shingles binary"), "bodies")
+    cells, links = cells_of(wanted, body, num, den, limit, count)
+    width = max(shuffle, parts(count, 20_000))
+    found = cells.repartition(width, "cell").sortWithinPartitions("cell").mapInPandas(_join_cells(num, den), "a long, b long")
+    return sets, saved(found if links is None else found.unionByName(links), "links")
 
 
-def join_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, limit: int = REGION_SHINGLES) -> DataFrame:
+def join_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, limit: int = REGION_SHINGLES, vectors: int = REGION_VECTORS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included)."""
-    sets, links = linked(docs, n, num, den, limit)
-    reps = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    # Rows that share a doc_id and have different sets tie their sets together.
-    tied = sets.where("digest is not null and doc_id is not null").join(reps, "digest").where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    many = sets.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 < d1")
-    if many.limit(1).count():
-        links = links.unionByName(tied.join(many, tied["b"] == many["doc_id"], "left_semi"))
-    comp = components(links, "links") if links.limit(1).count() else docs.sparkSession.createDataFrame([], "node long, component long")
-    known = reps.join(comp, reps["rep"] == comp["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.join(known, "digest", "left")
-    if many.limit(1).count():
-        low = out.groupBy("doc_id").agg(F.min("component_id").alias("low"))
+    sets, links = linked(docs, n, num, den, limit, vectors)
+    known = sets.where("digest is not null and doc_id is not null")
+    reps = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    many = saved(known.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 < d1").select("doc_id"), "many")
+    n_many = many.count()
+    if n_many:
+        # Rows that share a doc_id and have different sets tie their sets together.
+        tied = known.join(many, "doc_id", "left_semi").join(reps, "digest").where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        links = links.unionByName(tied)
+    if links.limit(1).count():
+        comp = components(links, "links")
+        reps = reps.join(comp, reps["rep"] == comp["node"], "left").select("digest", "rows", F.coalesce("component", "rep").alias("component_id"))
+    else:
+        reps = reps.withColumnRenamed("rep", "component_id")
+    out = join_hot(sets.select("doc_id", "n_shingles", "digest"), saved(reps, "known"), "digest", "rows")
+    if n_many:
+        low = out.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("low"))
         out = out.join(low, "doc_id", "left").withColumn("component_id", F.coalesce("low", "component_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of docs with the least doc_id of their component, all columns kept; null ids stay."""
+    """The rows of docs with the least doc_id of their component, all columns kept; null ids and rows that repeat an id stay."""
     found = saved(join_components(docs, n, num, den), "components")
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     return only_ids(docs, gone, False, gone.count())

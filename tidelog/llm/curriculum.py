@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, text_of
+from .common import WORD, broadcastable, join_hot, saved, text_of
 
 #: Weights by the rank of a source's name, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -74,37 +74,47 @@ def inverse_demand(u: Column, w0: Column, w1: Column) -> Column:
     return F.least(F.greatest(F.when(F.abs(bend) < 1e-12, u).otherwise(curved), F.lit(0.0)), F.lit(1.0))
 
 
-def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, whole: bool = True) -> DataFrame:
-    """docs (all columns; __size words) with __source_size, __target, __taken and __copies.
+def _after(buckets: DataFrame, step: int = 1_024) -> DataFrame:
+    """buckets (src, bucket, words) with start, the words of the source's earlier buckets, by runs of step buckets."""
+    runs = buckets.withColumn("run", F.floor(F.col("bucket") / step))
+    before = Window.partitionBy("src").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    heads = runs.groupBy("src", "run").agg(F.sum("words").alias("all")).withColumn("head", F.coalesce(F.sum("all").over(before), F.lit(0))).select("src", "run", "head")
+    inside = Window.partitionBy("src", "run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return runs.join(heads, ["src", "run"]).select("src", "bucket", (F.col("head") + F.coalesce(F.sum("words").over(inside), F.lit(0))).alias("start"))
 
-    __copies: a (position, words) for each copy that the mix takes. A source is dealt into hashed
+
+def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, whole: bool = True, words: Column | None = None) -> DataFrame:
+    """(row, doc_id, size, source_size, target, taken, copies) of each row of docs; row is a struct of all its columns.
+
+    words: the size of a row, by default the words of its text. copies: a (position, words) for each copy that the mix takes. A source is dealt into hashed
     buckets of about BUCKET_ROWS rows; prefix sums over buckets, then inside each, place its rows.
+    As the columns of docs are kept in the struct, their names cannot clash with any used here.
     """
-    sized = docs if "__size" in docs.columns else docs.withColumn("__size", word_count())
-    sized = sized.withColumn("__key", F.xxhash64(F.col("doc_id"), F.lit(17)))
-    counts = sized.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("rows"))
-    aims = saved(targets(counts, share, cap, weights, ramps).withColumn("buckets", F.ceil(F.col("rows") / BUCKET_ROWS).cast("int")), "aims")
-    aims = aims.select(F.col("source").alias("__src"), "source_size", "target", "w0", "w1", "buckets")
-    # One row per source, pre-aggregated; Spark broadcasts it while its size on disk allows.
-    dealt = sized.join(aims, sized["source"].eqNullSafe(aims["__src"]), "left").withColumn("__bucket", F.pmod(F.shiftright("__key", 20), F.col("buckets")))
-    sums = dealt.groupBy("__src", "__bucket").agg(F.sum("__size").alias("words"))
-    earlier = Window.partitionBy("__src").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = saved(sums.withColumn("start", F.coalesce(F.sum("words").over(earlier), F.lit(0))), "buckets").select(F.col("__src").alias("__s"), F.col("__bucket").alias("__b"), "start")
-    placed = dealt.join(sums, dealt["__src"].eqNullSafe(sums["__s"]) & (dealt["__bucket"] == sums["__b"]), "left")
-    inside = Window.partitionBy("__src", "__bucket").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("__at", F.col("start") + F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    size, at, total = F.col("__size"), F.col("__at"), F.col("source_size")
+    words = word_count() if words is None else words
+    # A source as a key that is never null: "=" and its name, or nothing.
+    src = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), src.alias("src"), words.alias("size"), F.xxhash64(F.col("doc_id"), F.lit(17)).alias("key"))
+    counts = docs.select(F.col("source").cast("string").alias("source"), words.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    aims = targets(counts, share, cap, weights, ramps).withColumn("buckets", F.ceil(F.col("rows") / BUCKET_ROWS).cast("int"))
+    aims = saved(aims.select(src.alias("src"), "rows", "source_size", "target", "w0", "w1", "buckets"), "aims")
+    dealt = sized.join(F.broadcast(aims.drop("rows")), "src") if broadcastable(aims.count()) else join_hot(sized, aims, "src", "rows")
+    dealt = dealt.withColumn("bucket", F.pmod(F.shiftright("key", 20), F.col("buckets")))
+    starts = saved(_after(dealt.groupBy("src", "bucket").agg(F.sum("size").alias("words"))), "buckets")
+    placed = dealt.join(starts, ["src", "bucket"])
+    inside = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    size, at, total = F.col("size"), F.col("at"), F.col("source_size")
     epochs = F.when(total > 0, F.floor(F.col("target") / total)).otherwise(0).cast("int")
     left = F.col("target") - epochs * total
     if whole:
         more = F.when((size > 0) & (at + size / 2 <= left), size).otherwise(0)
     else:
         more = F.least(F.greatest(F.round(left).cast("long") - at, F.lit(0)), size)
-    place = lambda copy: inverse_demand((F.col("__epoch_total") * copy + at) / F.greatest(F.col("target"), F.lit(1.0)), F.col("w0"), F.col("w1"))
-    copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(math.ceil(cap))), lambda i: F.struct(place(i).alias("position"), F.when(i < F.col("__epochs"), size).when(i == F.col("__epochs"), F.col("__more")).otherwise(F.lit(0)).cast("long").alias("words"))), lambda c: c["words"] > 0)
-    out = placed.withColumn("__epochs", epochs).withColumn("__more", more.cast("long")).withColumn("__epoch_total", total).withColumn("__copies", copies)
-    out = out.withColumn("__taken", (F.col("__epochs") * size + F.col("__more")).cast("long"))
-    return out.withColumnsRenamed({"source_size": "__source_size", "target": "__target"}).drop("__src", "__s", "__b", "__bucket", "buckets", "start", "w0", "w1", "__at", "__epochs", "__more", "__epoch_total", "__key")
+    out = placed.withColumn("epochs", epochs).withColumn("more", more.cast("long"))
+    place = lambda copy: inverse_demand((F.col("source_size") * copy + at) / F.greatest(F.col("target"), F.lit(1.0)), F.col("w0"), F.col("w1"))
+    share_of = lambda i: F.when(i < F.col("epochs"), size).when(i == F.col("epochs"), F.col("more")).otherwise(F.lit(0)).cast("long")
+    copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(math.ceil(cap))), lambda i: F.struct(place(i).alias("position"), share_of(i).alias("words"))), lambda c: c["words"] > 0)
+    return out.select("row", "doc_id", "size", "source_size", "target", (F.col("epochs") * size + F.col("more")).cast("long").alias("taken"), copies.alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -112,16 +122,16 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Whole documents only: at the target the document on it is taken if its middle lies before it.
     """
-    taken = plan(docs, whole=True, **options).select(*docs.columns, F.explode("__copies").alias("__copy"))
+    taken = plan(docs, whole=True, **options).select("row", "doc_id", F.explode("copies").alias("copy"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return taken.repartitionByRange(n, F.col("__copy.position"), F.col("doc_id")).sortWithinPartitions(F.col("__copy.position"), "doc_id").drop("__copy")
+    return taken.repartitionByRange(n, F.col("copy.position"), F.col("doc_id")).sortWithinPartitions(F.col("copy.position"), "doc_id").select("row.*")
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, first position (null if not taken), by position."""
-    slim = docs.select("doc_id", "source", word_count().alias("__size"))
-    out = plan(saved(slim, "sizes"), whole=False, **options)
-    first = F.get(F.col("__copies"), F.lit(0))["position"]
-    out = out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").cast("long").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), first.alias("position"))
+    slim = saved(docs.select("doc_id", "source", word_count().alias("words")), "sizes")
+    out = plan(slim, whole=False, words=F.col("words"), **options)
+    first = F.get(F.col("copies"), F.lit(0))["position"]
+    out = out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", first.alias("position"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return out.repartitionByRange(n, "position", "doc_id").sortWithinPartitions("position", "doc_id")

@@ -2,9 +2,12 @@
 
 Documents become token pieces of at most ``capacity`` tokens (only longer documents are cut).
 Pieces are dealt into partitions of bounded size; each is packed by best-fit decreasing, and dual
-feasible functions give a lower bound on its bins. A partition that meets its bound is done. Those
-with a gap, and the one least full bin of every partition, release bins; the released pieces are
-exchanged between fewer partitions and packed again, until no gap is left or a round saves nothing.
+feasible functions give a lower bound on its bins, a real number of which the next whole one certifies
+the partition. The gap is bins less that number: a partition that is certified still wastes a part
+of a bin, and the parts of several make bins. Partitions with a gap release their emptiest bins, as
+many as the gap could close; the released pieces are exchanged between fewer partitions and packed
+again, until one partition has packed the rest or a round releases no fewer than it took. Each
+piece tells the bins and the bound of the partition that packed it, and so whether it is certified.
 
 Only (piece, length) pairs travel. Defined results: null text is empty and yields one piece, the
 end id alone; repeated rows are packed each; an empty table gives an empty result; extra columns are
@@ -13,6 +16,7 @@ ignored; ties between equal lengths are broken by (doc_id, row, piece).
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, saved, text_of
+from .common import alone, kept, parts, saved, text_of
 
 CAPACITY = 2048
 #: Pieces that one partition packs.
@@ -131,8 +135,9 @@ def groups_of(texts: pa.Array, size: int = 6_000_000) -> Iterator[tuple[int, int
         yield start, len(texts) - start
 
 
-@lru_cache(2)
+@lru_cache(1)
 def word_tokens(path: str) -> WordTokens:
+    kept["packing"] = word_tokens.cache_clear
     return WordTokens(path)
 
 
@@ -148,6 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     schema = "doc_id long, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("packing")
         known, end, step, crc = word_tokens(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity, zlib.crc32
         for batch in batches:
             texts, doc_ids, rows = batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
@@ -165,22 +171,26 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_of().alias("text")).mapInArrow(run, schema)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs: the best of the volume bound and two families of dual feasible functions.
+def lower_bound(lengths: np.ndarray, capacity: int) -> float:
+    """Bins that any packing needs, as a real number: the best of the volume bound and two families of dual feasible functions.
 
     f_eps drops items up to eps and counts those over capacity - eps as whole bins; u_k scales by
     k + 1 and rounds down unless exact. Both keep every feasible bin's sum within 1.
     """
-    n = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(n: np.ndarray, capacity: int) -> float:
+    """lower_bound() of n[x] pieces of each length x."""
     x = np.arange(capacity + 1, dtype=np.int64)
-    best = -(-int(n @ x) // capacity)
+    best = int(n @ x) / capacity
     for eps in range(1, capacity // 2 + 1, max(1, capacity // 256)):
         f = np.where(x > capacity - eps, capacity, np.where(x < eps, 0, x))
-        best = max(best, -(-int(n @ f) // capacity))
+        best = max(best, int(n @ f) / capacity)
     for k in range(1, 9):
         up = (k + 1) * x
         f = np.where(up % capacity == 0, x * k, (up // capacity) * capacity)
-        best = max(best, -(-int(n @ f) // (capacity * k)))
+        best = max(best, int(n @ f) / (capacity * k))
     return best
 
 
@@ -210,22 +220,25 @@ def _pack_part(capacity: int, round_no: int):
         lengths = pdf["length"].to_numpy(np.int64)
         bins = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        gap = len(fill) - lower_bound(lengths, capacity)
-        # The emptiest bins go: one in any case, and with a gap as many more as could close it.
+        bound = lower_bound(lengths, capacity)
+        gap = len(fill) - bound
+        # With a gap the emptiest bins go, until their room is twice what the gap wastes, and one more.
         order = np.argsort(fill, kind="stable")
+        room = np.cumsum(capacity - fill[order])
         go = np.zeros(len(fill), bool)
-        go[order[: 1 + 16 * gap]] = True
+        if gap > 0:
+            go[order[: int(np.searchsorted(room, 2 * gap * capacity)) + 1]] = True
         go &= fill < capacity
         offset = pd.Series(lengths).groupby(bins).cumsum().to_numpy() - lengths
         number = (np.int64(round_no) << 56) + (np.int64(pdf["part"].iloc[0]) << 24) + bins
-        return pdf[["doc_id", "row", "piece", "length"]].assign(sequence_id=number, offset=offset, free=go[bins])
+        return pdf[["doc_id", "row", "piece", "length"]].assign(sequence_id=number, offset=offset, free=go[bins], part_bins=len(fill), part_bound=bound)
 
     return run
 
 
 def pack(table: DataFrame, capacity: int = CAPACITY, per_part: int = PIECES_PER_PART) -> DataFrame:
-    """(doc_id, row, piece, length, sequence_id, offset) for the pieces of table; reads each once a round."""
-    schema = "doc_id long, row long, piece int, length long, sequence_id long, offset long, free boolean"
+    """(doc_id, row, piece, length, sequence_id, offset, part_bins, part_bound) for the pieces of table; reads each once a round."""
+    schema = "doc_id long, row long, piece int, length long, sequence_id long, offset long, free boolean, part_bins long, part_bound double"
     rest, done, round_no = table.select("doc_id", "row", "piece", "length"), None, 0
     n, last = rest.count(), None
     while True:
@@ -235,16 +248,27 @@ def pack(table: DataFrame, capacity: int = CAPACITY, per_part: int = PIECES_PER_
         kept = packed.where("not free").drop("free")
         freed, bins = packed.where("free").agg(F.count("*"), F.countDistinct("sequence_id")).first()
         round_no += 1
-        if p == 1 or not freed or (last is not None and freed >= last) or round_no >= 60:
+        if p == 1 or not freed or (last is not None and freed >= last):
             return (done.unionByName(packed.drop("free")) if done is not None else packed.drop("free"))
         done = kept if done is None else done.unionByName(kept)
         rest, n, last = packed.where("free"), freed, freed
 
 
 def packed_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0, per_part: int = PIECES_PER_PART) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, part_bins, part_bound."""
     table = saved(pieces(docs, tokenizer, capacity, end_id), "pieces")
     places = pack(table, capacity, per_part).drop("length")
     key = ["doc_id", "row", "piece"]
     on = [table[k].eqNullSafe(places[k]) for k in key]
-    return table.join(places, on, "inner").select(table["doc_id"], table["piece"], "start", "length", "ids_crc32", "sequence_id", "offset")
+    return table.join(places, on, "inner").select(table["doc_id"], table["piece"], "start", "length", "ids_crc32", "sequence_id", "offset", "part_bins", "part_bound")
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> dict:
+    """{bins, bound, gap} of a packing: the bins it uses, and those that any packing of its pieces needs."""
+    counts = packed.groupBy("length").count().collect()  # a row for each length, at most capacity of them
+    bins = packed.agg(F.count_if(F.col("offset") == 0)).first()[0]
+    n = np.zeros(capacity + 1, np.int64)
+    for length, c in counts:
+        n[length] = c
+    bound = math.ceil(bound_of_counts(n, capacity) - 1e-9)
+    return {"bins": bins, "bound": bound, "gap": bins - bound}

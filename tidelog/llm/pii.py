@@ -145,8 +145,9 @@ class Window:
         self.segments: list[list[tuple[int, int, list[int]]]] = [[] for _ in range(len(toks) + 1)]
         word = [m.group().lower() for m in toks]
         space = [w.isspace() for w in word]
-        digit = np.cumsum([0] + [w[0].isdigit() and w[0].isascii() for w in word])
-        ats = np.cumsum([0] + [w == "@" for w in word])
+        digit = np.cumsum([0] + [w[0].isdigit() and w[0].isascii() for w in word]).tolist()
+        digits = np.cumsum([0] + [sum(map(str.isdigit, w)) for w in word]).tolist()
+        ats = np.cumsum([0] + [w == "@" for w in word]).tolist()
         for i in range(len(toks)):
             if space[i] or word[i] in ",.;:!?)|/":
                 continue
@@ -156,7 +157,7 @@ class Window:
                 if not word[j - 1][0].isalnum() or not (ats[j] > ats[i] or digit[j] > digit[i]):
                     continue
                 a, b = self.cuts[i], self.cuts[j]
-                if ats[j] == ats[i] and sum(c.isdigit() for c in text[a:b]) < 7:
+                if ats[j] == ats[i] and digits[j] - digits[i] < 7:
                     continue
                 self.segments[j].append((i, j, span_features(text, a, b, cues)))
 

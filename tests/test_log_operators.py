@@ -34,6 +34,7 @@ def test_stamp_forms(spark):
     # The first form that matches decides, even if its value is no time; unbracketed ctime is none; before 1970 is none.
     assert stamps(spark, ["2026-13-03T14:00:00 [03/Jun/2026:16:00:00 +0200]", "Wed Jun  3 14:00:00 2026", "1969-12-31T23:59:59", "no stamp", "x" * 300 + " [03/Jun/2026:16:00:00 +0200]"]) == [None] * 5
     assert stamps(spark, ["2026-06-03T14:00:00 [Thu Jun  4 14:00:00 2026]"]) == [t]
+    assert stamps(spark, ["2026-06-03T13:59:60 x", "2026-06-03T13:59:60.25Z x", "a [03/Jun/2026:13:59:60 +0000]", "[Wed Jun  3 13:59:60 2026]", "[Tue Jun  3 14:00:00 2026]", "2026-06-03T13:59:61"]) == [t, t + 250, t, t, None, None]
     assert lines(spark, ["at=20260603/1400 x"]).select(stamp_millis(F.col("line"), r"at=(\S+)", "yyyyMMdd/HHmm")).first()[0] == t
     with pytest.raises(ValueError):
         stamp_millis(F.lit("x"), regex="x")

@@ -1,7 +1,8 @@
 """Stamps: the time that a log line states, in epoch milliseconds, null if it states none.
 
 The first form that matches decides; a match whose value is no time leaves the line unstamped, with
-no further try. Times without a zone are those of the session (UTC). Times before 1970 are none.
+no further try. Times without a zone are those of the session (UTC). Times before 1970 are none. A second
+of 60 is the one after 59; a weekday that is not the date's is no time.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ HEAD = 256
 # The forms.
 ISO = r"^(\d{4})[.-](\d{2})[.-](\d{2})[T ](\d{2}:\d{2}:\d{2})(?:[.,:](\d{1,9}))?(Z|[+-]\d{2}:?\d{2})?"
 CLF = r"\[(\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})\]"
-CTIME = r"\[[A-Z][a-z]{2} ([A-Z][a-z]{2}) ([ 0-9]\d) (\d{2}:\d{2}:\d{2})(?:\.(\d+))? (\d{4})\]"
+CTIME = r"\[([A-Z][a-z]{2}) ([A-Z][a-z]{2}) ([ 0-9]\d) (\d{2}:\d{2}:\d{2})(?:\.(\d+))? (\d{4})\]"
 EPOCH = r"^(\d{13}|\d{10})\b"
 
 
@@ -23,22 +24,31 @@ def _millis(ts: Column) -> Column:
     return F.when(ms >= 0, ms)
 
 
+def _leap(clock: Column) -> tuple[Column, Column]:
+    """(clock with a second of 60 made 59, milliseconds to add for it)."""
+    last = r":60(?![0-9:])"
+    return F.regexp_replace(clock, last, ":59"), F.when(F.regexp_like(clock, F.lit(last)), F.lit(1000)).otherwise(F.lit(0))
+
+
 def iso_millis(head: Column) -> Column:
     g = lambda k: F.regexp_extract(head, ISO, k)
     fraction = F.when(g(5) == "", F.lit("")).otherwise(F.concat(F.lit("."), g(5)))
     zone = F.regexp_replace(g(6), r"^([+-]\d{2})(\d{2})$", "$1:$2")
-    return _millis(F.concat(g(1), F.lit("-"), g(2), F.lit("-"), g(3), F.lit("T"), g(4), fraction, zone).try_cast("timestamp"))
+    clock, more = _leap(g(4))
+    return _millis(F.concat(g(1), F.lit("-"), g(2), F.lit("-"), g(3), F.lit("T"), clock, fraction, zone).try_cast("timestamp")) + more
 
 
 def clf_millis(head: Column) -> Column:
-    return _millis(F.try_to_timestamp(F.regexp_extract(head, CLF, 1), F.lit("dd/MMM/yyyy:HH:mm:ss xx")))
+    clock, more = _leap(F.regexp_extract(head, CLF, 1))
+    return _millis(F.try_to_timestamp(clock, F.lit("dd/MMM/yyyy:HH:mm:ss xx"))) + more
 
 
 def ctime_millis(head: Column) -> Column:
-    # The weekday is not checked: a parse pattern for it does not exist.
     g = lambda k: F.regexp_extract(head, CTIME, k)
-    second = F.try_to_timestamp(F.concat_ws(" ", g(5), g(1), F.lpad(F.trim(g(2)), 2, "0"), g(3)), F.lit("yyyy MMM dd HH:mm:ss"))
-    return _millis(second) + F.when(g(4) == "", F.lit(0)).otherwise(F.rpad(F.substring(g(4), 1, 3), 3, "0").cast("int"))
+    clock, more = _leap(g(4))
+    second = F.try_to_timestamp(F.concat_ws(" ", g(6), g(2), F.lpad(F.trim(g(3)), 2, "0"), clock), F.lit("yyyy MMM dd HH:mm:ss"))
+    second = F.when(F.date_format(second, "EEE") == g(1), second)
+    return _millis(second) + more + F.when(g(5) == "", F.lit(0)).otherwise(F.rpad(F.substring(g(5), 1, 3), 3, "0").cast("int"))
 
 
 def epoch_millis(head: Column) -> Column:

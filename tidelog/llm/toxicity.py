@@ -1,18 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer maps each word to a label and a weight: insult, threat verb, target, negation,
-reporting verb, will. Four sequential transducers - negation, reported speech, target, threat - read
-the labels of a clause and mark them; they are composed once into one table, which a clause is run
-through. Its marks scale the weight of each insult or threat, so that whole matched clauses are
-scored, not words alone. A logistic link of the clause scores gives the document's score.
-
-Insult arcs are fixed words and, learned from labelled rows, words and stems (prefix arcs) whose
-contexts in toxic rows are significantly many; the link is fitted on the same sample, which is
-bounded by ``MAX_TOXIC`` and ``MAX_CLEAN`` rows, chosen by a hash of doc_id. Only text is scored.
+A lexical transducer maps each word to a label and a weight: insult, threat verb, target, predicate (copula or
+article), negation, reporting verb, will. Four sequential transducers - negation, reported speech,
+insult, threat - read the labels of a clause and fire arcs: an insult is aimed (a target stands before it),
+named (a predicate leads to it) or lone; a threat is willed or bare; either may be negated or reported. They
+are composed once into one table, which a clause is run through. A clause's weight is the sum over
+its fired arcs of arc weight times word weight, so that matched clauses are scored, not words.
+
+Arc weights are fitted on labelled rows by logistic regression over the arcs that a document's clauses
+fire; what an arc is worth, a lone insult too, is what those rows say, and an arc that they do not show
+keeps its fixed weight. Insult words are fixed and, learned from the same rows, words and stems (prefix
+arcs) whose contexts in toxic rows are significantly many. The sample is bounded by ``MAX_TOXIC`` and
+``MAX_CLEAN`` rows, chosen by a hash of doc_id. Only text is scored.
 
 Defined results: null and empty text match nothing and get the score of no match; several labels of
-one document count as toxic if one is; without labelled rows of both kinds the fixed words and link
-stand; repeated rows are scored each; extra columns are ignored.
+one document, and labels of rows with equal text, count as toxic if one is; without labelled rows of both
+kinds the fixed words and weights stand; repeated rows are scored each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, saved, text_of
+from .common import alone, held_out, kept, saved, text_of
 
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
 THRESHOLD = 0.3
@@ -45,14 +49,19 @@ TARGETS = {"you", "your", "yours", "u", "he", "she", "him", "her", "they", "them
 NEGATIONS = {"not", "no", "never", "isn", "aren", "wasn", "don", "doesn", "without", "nicht", "kein", "keine", "nie", "pas", "jamais", "aucun", "nunca", "jamás", "ni"}
 REPORTS = {"said", "says", "called", "calls", "wrote", "reported", "claimed", "quoted", "sagte", "nannte", "schrieb", "dit", "appelé", "écrit", "dijo", "llamó", "escribió"}
 WILLS = {"will", "ll", "gonna", "going", "shall", "should", "werde", "vais", "voy"}
-
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, WILL, QUOTE = range(8)
-LABELS = 8
+PREDICATES = {"is", "are", "re", "was", "were", "a", "an", "the", "such", "this", "ist", "sind", "bist", "ein", "eine", "einen", "der", "die", "das", "est", "es", "sont", "un", "une", "le", "la", "les", "eres", "son", "una", "el", "los", "las"}
+
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, WILL, QUOTE, PREDICATE = range(9)
+LABELS = 9
+ARCS = ("aimed", "named", "lone", "willed", "bare", "negated", "reported")
+AIMED, NAMED, LONE, WILLED, BARE, NEGATED, REPORTED = range(7)
+#: Weights of the arcs before any is fitted; the last two take away.
+ARC_WEIGHTS = (1.4, 1.0, 0.6, 1.2, 0.2, -0.9, -0.7)
 _BASE_WEIGHT = 2.0
 
 
 class Transducer:
-    """Sequential: step(state, label) gives (next state, label out, log weight)."""
+    """Sequential: step(state, label) gives (next state, label out, arcs fired)."""
 
     def __init__(self, step, start=0):
         self.step, self.start = step, start
@@ -61,15 +70,15 @@ class Transducer:
         """The composition: other reads what this one writes."""
 
         def step(state, label):
-            a, out, w = self.step(state[0], label)
-            b, out, v = other.step(state[1], out)
-            return (a, b), out, w + v
+            a, out, fired = self.step(state[0], label)
+            b, out, more = other.step(state[1], out)
+            return (a, b), out, fired + more
 
         return Transducer(step, (self.start, other.start))
 
-    def table(self) -> tuple[list[list[int]], list[list[float]]]:
-        """Reachable states as rows of next states and of weights, by label."""
-        number, todo, nxt, weight = {self.start: 0}, [self.start], [], []
+    def table(self) -> tuple[list[list[int]], list[list[tuple[int, ...]]]]:
+        """Reachable states as rows of next states and of fired arcs, by label."""
+        number, todo, nxt, arcs = {self.start: 0}, [self.start], [], []
         while todo:
             s = todo.pop(0)
             steps = [self.step(s, x) for x in range(LABELS)]
@@ -78,44 +87,47 @@ class Transducer:
                     number[t] = len(number)
                     todo.append(t)
             nxt.append([number[t] for t, _, _ in steps])
-            weight.append([w for _, _, w in steps])
-        return nxt, weight
+            arcs.append([f for _, _, f in steps])
+        return nxt, arcs
 
 
 def _negation(state, label):
-    # A negation weakens an insult or threat among the next four words.
+    # A negation reaches the next four words.
     if label == NEGATION:
-        return 4, label, 0.0
-    return max(0, state - 1), label, -1.5 if state and label in (INSULT, THREAT) else 0.0
+        return 4, label, ()
+    return max(0, state - 1), label, (NEGATED,) if state and label in (INSULT, THREAT) else ()
 
 
 def _reported(state, label):
-    # After a reporting verb, and between quotation marks, what is said counts less.
+    # What follows a reporting verb or stands between quotation marks is reported.
     if label == REPORT:
-        return state | 1, label, 0.0
+        return state | 1, label, ()
     if label == QUOTE:
-        return state ^ 2, label, 0.0
-    return state, label, -0.7 if state and label in (INSULT, THREAT) else 0.0
+        return state ^ 2, label, ()
+    return state, label, (REPORTED,) if state and label in (INSULT, THREAT) else ()
 
 
-def _target(state, label):
-    # A target up to five words before an insult strengthens it.
+def _insult(state, label):
+    # (words left that a target reaches, words left that a predicate reaches)
+    target, predicate = state
     if label == TARGET:
-        return 5, label, 0.0
-    return max(0, state - 1), label, 0.5 if state and label == INSULT else 0.0
+        return (5, 0), label, ()
+    after = (max(0, target - 1), 2 if label == PREDICATE else max(0, predicate - 1))
+    if label != INSULT:
+        return after, label, ()
+    return after, label, (AIMED,) if target else (NAMED,) if predicate else (LONE,)
 
 
 def _threat(state, label):
-    # A threat verb counts in full after "will"; alone it is weak.
+    # A threat verb is willed up to four words after "will".
     if label == WILL:
-        return 4, label, 0.0
-    return max(0, state - 1), label, (0.0 if state else -2.5) if label == THREAT else 0.0
+        return 4, label, ()
+    return max(0, state - 1), label, ((WILLED,) if state else (BARE,)) if label == THREAT else ()
 
 
 @lru_cache(1)
-def grammar() -> tuple[list[list[int]], list[list[float]]]:
-    nxt, weight = Transducer(_negation).then(Transducer(_reported)).then(Transducer(_target)).then(Transducer(_threat)).table()
-    return nxt, [[math.exp(w) for w in row] for row in weight]
+def grammar() -> tuple[list[list[int]], list[list[tuple[int, ...]]]]:
+    return Transducer(_negation).then(Transducer(_reported)).then(Transducer(_insult, (0, 0))).then(Transducer(_threat)).table()
 
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -142,69 +154,74 @@ class Lexicon(dict):
         for n in self.lengths:
             if len(word) > n and word[:n] in self.stems:
                 return INSULT, self.stems[word[:n]]
-        for label, known in ((INSULT, INSULTS), (THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (WILL, WILLS), (TARGET, TARGETS)):
+        for label, known in ((INSULT, INSULTS), (THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (WILL, WILLS), (TARGET, TARGETS), (PREDICATE, PREDICATES)):
             if word in known:
                 return label, _BASE_WEIGHT if label in (INSULT, THREAT) else 0.0
         return OTHER, 0.0
 
 
-def clauses(text: str, lexicon: Lexicon) -> list[tuple[int, int, float]]:
-    """(start, end, score) of the clauses in which the grammar matches."""
-    nxt, factor = grammar()
-    out, state, score, begin = [], 0, 0.0, 0
+def matched(text: str, lexicon: Lexicon) -> list[tuple[int, int, list[float]]]:
+    """(start, end, word weight by arc) of the clauses in which the grammar matches."""
+    nxt, arcs = grammar()
+    out, state, sums, begin = [], 0, None, 0
     for m in _TOKENS(text):
         tok = m.group()
         if tok[0] in ".!?;:\n|":
-            if score:
-                out.append((begin, m.end(), score))
-            state, score, begin = 0, 0.0, m.end()
+            if sums:
+                out.append((begin, m.end(), sums))
+            state, sums, begin = 0, None, m.end()
             continue
         label, w = (QUOTE, 0.0) if tok in "\"“”„«»" else lexicon.look(tok.lower())
         if w:
-            score += w * factor[state][label]
+            sums = sums or [0.0] * len(ARCS)
+            for arc in arcs[state][label]:
+                sums[arc] += w
         state = nxt[state][label]
-    if score:
-        out.append((begin, len(text), score))
+    if sums:
+        out.append((begin, len(text), sums))
     return out
 
 
-def features(text: str, lexicon: Lexicon) -> tuple[float, float, float]:
-    """Best clause, log of the sum, and sum to the length, of the matched clauses."""
-    words = _WORDS(text.lower())
-    if not words or not max(map(lexicon.__getitem__, words)):
-        return 0.0, 0.0, 0.0
-    scores = [s for _, _, s in clauses(text, lexicon)]
-    total = sum(scores)
-    return max(scores, default=0.0), math.log1p(total), 10 * total / len(words)
-
+#: What a document shows: the log of its clauses' weight by arc, and their weight to its length.
+SHOWN = len(ARCS) + 1
 
-def _contexts(only: set[str] | None):
-    """(term, stem, contexts, words): distinct neighbour pairs of each word and stem, and words of a stem;
-    near copies give the same pairs.
 
-    Runs as one task, so that pairs are distinct over all its rows, which are bounded as the sample is.
+def features(text: str, lexicon: Lexicon) -> tuple[list[float], int]:
+    """(what a document shows, clauses matched)."""
+    words = _WORDS(text.lower())
+    if not words or not max(map(lexicon.__getitem__, words)):
+        return [0.0] * SHOWN, 0
+    found = matched(text, lexicon)
+    sums = [sum(x) for x in zip(*(s for _, _, s in found))] if found else [0.0] * len(ARCS)
+    return [*map(math.log1p, sums), 10 * sum(sums[:NEGATED]) / len(words)], len(found)
+
+
+def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, context): each word with a hash of its two neighbours, hardly ever twice in a task."""
+    alone("toxicity")
+    seen: set[tuple[str, int]] = set()
+    for pdf in batches:
+        for t in pdf["text"].array:
+            w = _WORDS(t.lower())
+            seen.update((b, xxhash.xxh64_intdigest(f"{a} {c}") >> 1) for a, b, c in zip(["", *w], w, [*w[1:], ""]))
+            if len(seen) > 50_000:
+                yield pd.DataFrame(list(seen), columns=["word", "context"])
+                seen.clear()
+    yield pd.DataFrame(list(seen), columns=["word", "context"])
+
+
+def term_counts(sample: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, stem, n, words) of a sample: distinct contexts of each word, their sum over the words of each stem, and those words.
+
+    Near copies give the same contexts. terms (term, stem) limits what is counted.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[tuple[str, bool, int]] = set()
-        under: dict[str, set[str]] = {}
-        for pdf in batches:
-            for t in pdf["text"].array:
-                w = _WORDS(t.lower())
-                for a, b, c in zip(["", *w], w, [*w[1:], ""]):
-                    ctx = hash((a, c))
-                    if only is None or b in only:
-                        seen.add((b, False, ctx))
-                    for n in STEMS:
-                        if len(b) > n and (only is None or "^" + b[:n] in only):
-                            seen.add((b[:n], True, ctx))
-                            under.setdefault(b[:n], set()).add(b)
-        count: dict[tuple[str, bool], int] = {}
-        for term, stem, _ in seen:
-            count[term, stem] = count.get((term, stem), 0) + 1
-        yield pd.DataFrame([(t, s, n, len(under[t]) if s else 1) for (t, s), n in count.items()], columns=["term", "stem", "n", "words"])
-
-    return run
+    pairs = sample.select("text").repartition("text").mapInPandas(_contexts, "word string, context long").distinct()
+    words = pairs.groupBy("word").agg(F.count("*").alias("n"))
+    stems = F.transform(F.filter(F.array(*map(F.lit, STEMS)), lambda n: n < F.length("word")), lambda n: F.struct(F.substring(F.col("word"), F.lit(1), n).alias("term"), F.lit(True).alias("stem")))
+    every = words.select("n", F.explode(F.concat(F.array(F.struct(F.col("word").alias("term"), F.lit(False).alias("stem"))), stems)).alias("t")).select("t.*", "n")
+    if terms is not None:
+        every = every.join(terms, ["term", "stem"], "left_semi")
+    return every.groupBy("term", "stem").agg(F.sum("n").alias("n"), F.count("*").alias("words"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[DataFrame, float, float]:
@@ -214,7 +231,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
     n = {r[0]: r[1] for r in one.groupBy(F.col("toxic") > 0).count().collect()}
     some = one.where("toxic > 0").orderBy(order).limit(max_toxic).unionByName(one.where("toxic <= 0").orderBy(order).limit(max_clean))
     # At most max_toxic + max_clean ids: a proven bound for the broadcast.
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["text"])
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(some), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     share = lambda k, most: min(1.0, most / n[k]) if n.get(k) else 1.0
     return saved(rows.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")), "toxic-sample"), share(True, max_toxic), share(False, max_clean)
 
@@ -228,9 +245,9 @@ def _log_tail(a: int, n: int, p: float) -> float:
 
 
 class Model:
-    """What is broadcast to score: insult words and stems with weights, and the link."""
+    """What is broadcast to score: insult words and stems with weights, and the link: bias, arc weights, density."""
 
-    def __init__(self, words=None, stems=None, link=(-4.0, 1.0, 1.0, 0.5)):
+    def __init__(self, words=None, stems=None, link=(-4.0, *ARC_WEIGHTS, 0.5)):
         self.words, self.stems, self.link = words or {}, stems or {}, tuple(link)
 
     def lexicon(self) -> Lexicon:
@@ -240,18 +257,24 @@ class Model:
         z = self.link[0] + f @ np.array(self.link[1:])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def clauses(self, text: str, lexicon: Lexicon | None = None) -> list[tuple[int, int, float]]:
+        """(start, end, weight) of the clauses that match; negations and reports may take all weight away."""
+        arcs = self.link[1:-1]
+        return [(a, b, max(0.0, sum(w * x for w, x in zip(arcs, s)))) for a, b, s in matched(text, lexicon or self.lexicon())]
+
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[float]:
-    """Ridge logistic regression by Newton steps; slopes are kept from falling below 0."""
+    """Logistic regression by Newton steps, drawn to the fixed weights; no arc changes its sign."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    b = np.array([-3.0, 0.5, 0.5, 0.1])
-    ridge = np.diag([1e-6, 0.3, 0.3, 0.3])
+    prior = np.array(Model().link)
+    b, sign = prior.copy(), np.sign(prior)
+    ridge = np.diag([1e-6] + [0.3] * SHOWN)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (w * p * (1 - p))[:, None]).T @ x + ridge + 1e-6 * np.eye(4)
-        step = np.linalg.solve(h, x.T @ (w * (y - p)) - ridge @ b)
+        h = (x * (w * p * (1 - p))[:, None]).T @ x + ridge + 1e-6 * np.eye(len(b))
+        step = np.linalg.solve(h, x.T @ (w * (y - p)) - ridge @ (b - prior))
         b = b + np.clip(step, -1, 1)
-        b[1:] = np.maximum(b[1:], 0)
+        b[1:] = np.where(sign[1:] > 0, np.maximum(b[1:], 0), np.minimum(b[1:], 0))
         if np.abs(step).max() < 1e-6:
             break
     return b.tolist()
@@ -259,21 +282,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[float]:
 
 def _featured(model: Model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        alone("toxicity")
         lex = model.lexicon()
         for pdf in batches:
-            f = [features(t, lex) for t in pdf["text"].array]
-            yield pd.DataFrame(f, columns=["a", "b", "c"]).assign(toxic=pdf["toxic"].to_numpy())
+            yield pd.DataFrame({"f": [features(t, lex)[0] for t in pdf["text"].array], "toxic": pdf["toxic"]})
 
     return run
 
 
+def fitted(sample: DataFrame, model: Model, of_toxic: float = 1.0, of_clean: float = 1.0) -> Model:
+    """model with its arcs fitted to sample (text, toxic): one row of numbers for each of its bounded rows."""
+    rows = sample.mapInPandas(_featured(model), "f array<double>, toxic int").collect()
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    return Model(model.words, model.stems, _logistic(x, y, np.where(y > 0, 1 / of_toxic, 1 / of_clean)))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     sample, of_toxic, of_clean = labelled(docs, labels, max_toxic, max_clean)
     kinds = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if len(kinds) < 2:
         return Model()
-    table = lambda df, only: df.coalesce(1).mapInPandas(_contexts(only), "term string, stem boolean, n long, words long")
-    rows = table(sample.where("toxic = 1"), None).where("n >= 5").collect()
+    # Words and stems of the bounded sample, five contexts at least.
+    rows = sorted(tuple(r) for r in term_counts(sample.where("toxic = 1")).where("n >= 5").collect())
     # A stem needs several words, none of which makes it alone; of stems with the same words the longest stands for them.
     top: dict[str, int] = {}
     for t, s, n, _ in rows:
@@ -282,8 +312,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     stems = {t: n for t, s, n, words in rows if s and words >= STEM_WORDS and top.get(t, 0) <= 0.6 * n}
     short = {s[:-1] for s, n in stems.items() if n >= 0.95 * stems.get(s[:-1], n + 1)}
     toxic = {(t, s): n for t, s, n, _ in rows if not s or t in stems and t not in short}
-    clean_all = sample.where("toxic = 0")
-    clean = {(t, s): n for t, s, n, _ in table(clean_all, {"^" * s + t for t, s in toxic}).collect()}
+    terms = sample.sparkSession.createDataFrame(sorted(toxic), "term string, stem boolean")
+    clean = {(t, s): n for t, s, n, _ in term_counts(sample.where("toxic = 0"), F.broadcast(terms)).collect()}
     # The usual share of toxic contexts: by words of the two kinds of rows.
     words = {r[0]: r[1] or 1 for r in sample.groupBy("toxic").agg(F.sum(F.length("text"))).collect()}
     p = min(0.9, words[1] / (words[0] + words[1]))
@@ -294,12 +324,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
             found[s][t] = min(4.0, 1 + 0.5 * math.log((a + 0.5) / (b + 0.5) * (1 - p) / p))
     for s in [s for s in found[1] if any(s[:n] in found[1] for n in STEMS if n < len(s))]:
         del found[1][s]
-    model = Model(*found)
-    rows = sample.mapInPandas(_featured(model), "a double, b double, c double, toxic int").collect()
-    x = np.array([[r[0], r[1], r[2]] for r in rows])
-    y = np.array([r[3] for r in rows], float)
-    model.link = tuple(_logistic(x, y, np.where(y > 0, 1 / of_toxic, 1 / of_clean)))
-    return model
+    return fitted(sample, Model(*found), of_toxic, of_clean)
 
 
 def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
@@ -308,11 +333,11 @@ def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     schema = keep.drop("__text").schema.add("score", "double").add("n_clauses", "integer")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        alone("toxicity")
         lex = model.lexicon()
         for pdf in batches:
             found = [features(t, lex) for t in pdf["__text"].array]
-            n = [len(clauses(t, lex)) if f[0] else 0 for t, f in zip(pdf["__text"].array, found)]
-            yield pdf.drop(columns="__text").assign(score=model.score(np.array(found).reshape(-1, 3)), n_clauses=n)
+            yield pdf.drop(columns="__text").assign(score=model.score(np.array([f for f, _ in found]).reshape(-1, SHOWN)), n_clauses=[n for _, n in found])
 
     return keep.mapInPandas(run, schema)
 
@@ -332,7 +357,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
         lex = _lexicon_of(model)
-        return pd.Series(model.score(np.array([features(t, lex) for t in texts]).reshape(-1, 3)) < threshold)
+        return pd.Series(model.score(np.array([features(t, lex)[0] for t in texts]).reshape(-1, SHOWN)) < threshold)
 
     return docs.where(clean(text_of()))
 
@@ -343,6 +368,8 @@ _kept: list = []
 def _lexicon_of(model: Model) -> Lexicon:
     key = (tuple(sorted(model.words)), tuple(sorted(model.stems)))
     if not _kept or _kept[0] != key:
+        alone("toxicity")
+        kept["toxicity"] = _kept.clear
         _kept[:] = [key, model.lexicon()]
     return _kept[1]
 

@@ -716,15 +716,30 @@ def _store(spark, d, name: str = "events", **facts) -> Store:
     return store
 
 
+def _read_store(spark, d) -> Store:
+    """A store of all events that is made once in a session and only read."""
+    key = (spark.sparkContext.applicationId, d, "store")
+    if key not in _stored:
+        _stored[key] = _store(spark, d).path
+    return Store(spark, _stored[key])
+
+
+@query(_S1, "SELECT count(*) AS entries, count(DISTINCT seq) AS chunks, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, count(DISTINCT seq) AS indexed_chunks FROM sl")
+def store_ingest(spark, d):
+    """What a store that took all events holds; the first call of a session makes it."""
+    i = _read_store(spark, d).info()
+    return spark.createDataFrame([tuple(i[k] for k in ("entries", "chunks", "bytes", "indexed_chunks"))], "entries long, chunks long, bytes long, indexed_chunks long")
+
+
 @query(_S1, f"SELECT line_no AS entry_no, seq AS chunk_seq, ts_ms, line AS text FROM sl WHERE {_WINDOW} AND event_type = 'error'")
 def store_query(spark, d):
     """A window and a word asked of a store: only the folders of chunks that may hold them are read."""
-    return _store(spark, d).query(START, END, Predicates(has=["ERROR"])).select("entry_no", "chunk_seq", "ts_ms", "text")
+    return _read_store(spark, d).query(START, END, Predicates(has=["ERROR"])).select("entry_no", "chunk_seq", "ts_ms", "text")
 
 
 @query(_S1, f"SELECT count(*) FILTER ({_PICKED}) AS chunks_read, count(*) AS chunks_total, CAST(sum(n) FILTER ({_PICKED}) AS BIGINT) AS entries_read FROM sc")
 def store_read_cost(spark, d):
-    return _store(spark, d).read_cost(START, END, Predicates(has=["ERROR"]))
+    return _read_store(spark, d).read_cost(START, END, Predicates(has=["ERROR"]))
 
 
 @query(_S1, f"SELECT (SELECT count(*) FROM sc) AS before, count(*) AS after, (SELECT min(seq) FROM sc WHERE l >= {START}) AS first_seq, CAST((SELECT sum(bytes) FROM sc) - sum(bytes) AS BIGINT) AS dropped_bytes, CAST(sum(n) AS BIGINT) AS entries FROM sc WHERE seq >= (SELECT min(seq) FROM sc WHERE l >= {START})")

@@ -155,6 +155,41 @@ def test_pivots_make_regions(spark):
     assert cell.counted[0] > 6 and cell.counted[1] > 6
 
 
+def test_common_shingles_bring_few_documents_together(spark):
+    """Documents of common phrases and few words of their own meet by the latter; what is shown is dealt out once."""
+    rng = np.random.default_rng(5)
+    phrases = [" ".join(f"p{x}" for x in rng.integers(0, 10**6, 4)) for _ in range(400)]
+    texts = [" ".join(f"{phrases[p]} {w}" for p, w in zip(rng.integers(0, 400, 30), rng.integers(0, 10**9, 30))) for _ in range(300)]
+    texts += [t.replace(t.split()[-1], "end") for t in texts[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, often = jj.doc_sets(docs, 3)
+    total = sets.agg({"n_shingles": "sum"}).first()[0]
+    # No counters: with the frequent list empty the sample alone orders the shingles.
+    plain, ordered = (jj.regions(docs, often, 3, 90, 100, 0, total=t) for t in (0, total))
+    assert ordered.count() < plain.count() / 4
+    assert {r[0] for r in ordered.groupBy("cell").count().where("count > 1").select("count").collect()} == {2}
+    assert ordered._jdf.queryExecution().toString().count("MapInPandas") == 0
+    shingles, ranks = jj.common_shingles(docs, 3, total, most=10)
+    assert len(shingles) <= 10 and len(jj.common_shingles(docs, 3, total)[0]) > 400
+    ids, words = zip(*[(i, t) for i, t in enumerate(texts)])
+    want = components_by_hand(list(ids), sets_by_hand(words, 3), 90, 100)
+    assert {r[0]: r[2] for r in jj.join_components(docs, 3, 90, 100).collect()} == dict(zip(ids, want))
+
+
+def test_common_shingles_keep_the_prefixes_in_one_order():
+    rng = np.random.default_rng(11)
+    pool = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
+    prefixes = jj.Prefixes(90, 100, pool[::7], pool[1::7], rng.integers(1, 9, len(pool[1::7])).astype(np.uint8))
+    for _ in range(300):
+        a = np.unique(rng.choice(pool, 150))
+        b = np.unique(np.concatenate((np.delete(a, rng.integers(len(a), size=2)), rng.integers(0, 2**63, 2, dtype=np.uint64))))
+        (k, h, hot), (m, g, _) = prefixes(a), prefixes(b)
+        met = set(k.tolist()) & set(m.tolist())
+        assert met & (set(k[h].tolist()) | set(m[g].tolist()))
+        ok = [jj._may_link(np.array([len(a), len(b)]), [jj.folded(jj.vector(x), size).astype(np.uint8).tobytes() for x in (a, b)], 90, 100).all() for size in (16, jj.MINI)]
+        assert all(ok)
+
+
 def test_query(spark, sf, odd_dir, empty_dir):
     for d in (sf, odd_dir, empty_dir):
         docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]

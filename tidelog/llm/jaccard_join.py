@@ -3,13 +3,15 @@
 Documents are sets of hashed word shingles; Jaccard distance 1 - J is a metric. The join is exact:
 
 1. Pivots. All shingles have one order: frequent ones (a bounded list, by Misra-Gries counts over all
-   documents) last, the rest by hash. Of two linked sets the prefixes in that order share a shingle, so
-   documents meet by prefix shingle and size class; at each meeting the document of the least hash is
-   the pivot. A document belongs to the region of each pivot that it meets and is copied to all of them,
-   so every linked pair lies in one region. Documents that meet none are done.
+   documents) last, before them those that a sample holds more than once, by how often, then the rest; equals
+   by hash. The sample decides how few documents meet, never what links. Of two linked sets the prefixes in that
+   order share a shingle, so documents meet by prefix shingle and size class; at each meeting the document of
+   the least hash is the pivot. A document belongs to the region of each pivot that it meets and is copied to all
+   of them, so every linked pair lies in one region. Documents that meet none are done.
 2. Windows over counts. Folded to counters, a set is a short vector, and the L1 distance of two vectors never
    exceeds the symmetric difference of their sets. In a region the documents that this bound and
-   the window of sizes leave without a partner go before any set is sent.
+   the window of sizes leave without a partner go before any set is sent: first by vectors of at most
+   ``MINI`` counters, then, of those left, by whole ones.
 3. Voronoi regions. A region of more than ``REGION_SHINGLES`` shingles gets pivots from a table, in
    tasks dealt by salt; a document goes to the cell of its nearest pivot and is copied to the cell of
    each pivot q with d(x, q) <= d(x, p) + 2 eps, so by the triangle inequality every linked pair meets
@@ -37,7 +39,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import alone, broadcastable, components, join_hot, only_ids, parts, saved
@@ -52,6 +54,10 @@ VECTOR_CELLS = 4_000_000
 SPLIT_PIVOTS = 16
 #: Counters of a Misra-Gries summary, and the most shingles that the frequent list holds (8 bytes each, sent to every task).
 COUNTERS = 8_192
+#: Shingles of the documents that the order of shingles is made from, and the most that it holds (9 bytes each, sent to every task).
+SAMPLE, COMMON = 12_000_000, 524_288
+#: Counters of the vectors that every document sends to its regions.
+MINI = 64
 #: Copies of a document, on average, beyond which an in-memory region is not split further.
 COPIES = 2.0
 #: Tasks among which a frequent shingle's documents are dealt.
@@ -162,6 +168,7 @@ def vector(s: np.ndarray) -> np.ndarray:
 
 
 def folded(v: np.ndarray, size: int) -> np.ndarray:
+    """v as at most size counters: sums of neighbours."""
     v = v.astype(np.int32)
     while len(v) > size:
         top = (v[0::2] >= 255) | (v[1::2] >= 255)
@@ -202,8 +209,15 @@ class Prefixes:
     may lie there, to the next; the larger shows its prefix to its own class.
     """
 
-    def __init__(self, num: int, den: int, frequent: np.ndarray):
-        self.num, self.den, self.frequent = num, den, frequent
+    #: The rank of frequent shingles, after all others.
+    HOT = 255
+
+    def __init__(self, num: int, den: int, frequent: np.ndarray, common: np.ndarray | None = None, ranks: np.ndarray | None = None):
+        """common: sorted shingles that come after all others, by ranks (1 to HOT - 1), and before frequent ones."""
+        self.num, self.den = num, den
+        known, at = np.unique(np.concatenate((frequent, *([] if common is None else [common]))), return_index=True)
+        self.known = known
+        self.ranks = np.concatenate((np.full(len(frequent), self.HOT, np.uint8), *([] if ranks is None else [ranks])))[at]
         # The smallest set that can link with a different one: |x| / (|x| + 1) >= t.
         self.least = max(1, -(-num // max(1, den - num)))
         self.starts = [self.least]
@@ -224,12 +238,11 @@ class Prefixes:
         n, num, den = len(s), self.num, self.den
         if n < self.least:
             return np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool)
-        at = np.minimum(np.searchsorted(self.frequent, s), max(0, len(self.frequent) - 1))
-        often = self.frequent[at] == s if len(self.frequent) else np.zeros(n, bool)
+        at = np.minimum(np.searchsorted(self.known, s), max(0, len(self.known) - 1))
+        rank = np.where(self.known[at] == s, self.ranks[at], 0) if len(self.known) else np.zeros(n, np.uint8)
         prefix, head = n - -(-num * n // den) + 1, n - -(-2 * num * n // (den + num)) + 1
-        rare = s[~often][:prefix]
-        first = np.concatenate((rare, s[often][: prefix - len(rare)]))
-        hot = np.arange(len(first)) >= len(rare)
+        order = np.argsort(rank, kind="stable")[:prefix]
+        first, hot = s[order], rank[order] == self.HOT
         j = self.of(n)
         tag = lambda x, k: _mix(x ^ self.tag(k))
         keys, heads, hots = [tag(first, j)], [np.arange(len(first)) < head], [hot]
@@ -245,34 +258,60 @@ def _sets(n: int, counters: int):
         alone("jaccard_join")
         often = Frequent(counters)
         for pdf in batches:
-            ids, size, dig, node, vec = pdf["doc_id"].array, [], [], [], []
+            ids, size, dig, node, vec, mini = pdf["doc_id"].array, [], [], [], [], []
             for s in shingle_sets(pdf["text"].array, n):
                 d = digest(s) if len(s) else None
                 often.add(s)
                 size.append(len(s))
                 dig.append(d)
                 node.append(_node(d) if d else None)
-                vec.append(vector(s).tobytes() if d else None)
-            yield pd.DataFrame({"kind": np.int32(0), "doc_id": ids, "n_shingles": size, "digest": dig, "node": pd.array(node, "Int64"), "vec": vec}).astype({"doc_id": "Int64"})
+                v = vector(s) if d else None
+                vec.append(v.tobytes() if d else None)
+                mini.append(folded(v, MINI).astype(np.uint8).tobytes() if d else None)
+            yield pd.DataFrame({"kind": np.int32(0), "doc_id": ids, "n_shingles": size, "digest": dig, "node": pd.array(node, "Int64"), "vec": vec, "mini": mini}).astype({"doc_id": "Int64"})
         often.merge()
         m = len(often.keys)
-        yield pd.DataFrame({"kind": np.int32(1), "doc_id": pd.array([None] * m, "Int64"), "n_shingles": often.counts, "digest": None, "node": pd.array(often.keys.view(np.int64), "Int64"), "vec": None})
+        yield pd.DataFrame({"kind": np.int32(1), "doc_id": pd.array([None] * m, "Int64"), "n_shingles": often.counts, "digest": None, "node": pd.array(often.keys.view(np.int64), "Int64"), "vec": None, "mini": None})
 
     return run
 
 
 def doc_sets(docs: DataFrame, n: int, counters: int = COUNTERS) -> tuple[DataFrame, DataFrame]:
-    """(sets, frequent): (doc_id, n_shingles, digest, node, vec) of every document, and (shingle, n) of frequent ones."""
-    schema = "kind int, doc_id long, n_shingles long, digest binary, node long, vec binary"
+    """(sets, frequent): (doc_id, n_shingles, digest, node, vec, mini) of every document, and (shingle, n) of frequent ones."""
+    schema = "kind int, doc_id long, n_shingles long, digest binary, node long, vec binary, mini binary"
     both = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_sets(n, counters), schema), "sets")
     often = both.where("kind = 1").groupBy(F.col("node").alias("shingle")).agg(F.sum("n_shingles").alias("n"))
     return both.where("kind = 0").drop("kind"), often
 
 
-def _emit(n: int, num: int, den: int, frequent: np.ndarray, seen_limit: int = 200_000):
+def common_shingles(docs: DataFrame, n: int, total: int, sample: int = SAMPLE, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, ranks): those that documents with about sample of all total shingles hold more than once, sorted; the more, the higher the rank."""
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for s in shingle_sets(pdf["text"].array, n):
+                yield pd.DataFrame({"shingle": s.view(np.int64)})
+
+    part = min(1_000_000, max(1, 1_000_000 * sample // max(1, total)))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(n)), F.lit(1_000_000)) < part).select(F.col("text").cast("string").alias("text"))
+    counts = saved(some.mapInPandas(held, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    # The rows that go to the driver and to every task: those of the ranks that fit, at most `most`.
+    rank = F.least(F.floor(F.log2("n")), F.lit(Prefixes.HOT - 1)).cast("int")
+    fit, least = 0, Prefixes.HOT
+    for r, c in sorted(counts.groupBy(rank).count().collect(), reverse=True):
+        if fit + c > most:
+            break
+        fit, least = fit + c, r
+    found = counts.select("shingle", rank.alias("rank")).where(F.col("rank") >= least).toArrow()
+    keys = found.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found.column("rank").to_numpy().astype(np.uint8)[order]
+
+
+def _emit(n: int, num: int, den: int, frequent: np.ndarray, common: np.ndarray | None = None, ranks: np.ndarray | None = None, seen_limit: int = 200_000):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         alone("jaccard_join")
-        prefixes, seen = Prefixes(num, den, frequent), set()
+        prefixes, seen = Prefixes(num, den, frequent, common, ranks), set()
         for pdf in batches:
             out, held = [], 0
             for s in shingle_sets(pdf["text"].array, n):
@@ -300,21 +339,24 @@ def _emit(n: int, num: int, den: int, frequent: np.ndarray, seen_limit: int = 20
     return run
 
 
-def regions(docs: DataFrame, often: DataFrame, n: int, num: int, den: int, counters: int = COUNTERS) -> DataFrame:
-    """(cell, node): the regions, named by their pivot's node, and the documents in each, pivots too."""
+def regions(docs: DataFrame, often: DataFrame, n: int, num: int, den: int, counters: int = COUNTERS, total: int = 0) -> DataFrame:
+    """(cell, node): the regions, named by their pivot's node, and the documents in each, pivots too. total: how many shingles docs have; without it no sample orders them."""
     spark = docs.sparkSession
     # At most counters rows: a proven bound for what goes to the driver and to every task.
     top = often.where("n > 1").orderBy(F.desc("n"), "shingle").limit(counters).select("shingle").collect()
     frequent = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
+    common = common_shingles(docs, n, total) if total else ()
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The filter is the one that the join would add to one side only; with it the sides are one plan.
-    sent = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(_emit(n, num, den, frequent), "sig long, salt int, node long, head boolean").where("sig is not null and salt is not null").repartition(shuffle, "sig", "salt")
-    met = sent.groupBy("sig", "salt").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("head").alias("heads"))
-    cold = met.where("salt = 0 and low < high and heads").select("sig", "salt", F.col("low").alias("cell"))
-    cold = sent.hint("merge").join(cold, ["sig", "salt"]).select("cell", "node")
+    sent = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(_emit(n, num, den, frequent, *common), "sig long, salt int, node long, head boolean").repartition(shuffle, "sig", "salt")
+    # What is shown is dealt out once: a meeting's least and greatest document are found where it lies.
+    here = Window.partitionBy("sig", "salt")
+    met = sent.select("sig", "salt", "node", F.min("node").over(here).alias("low"), F.max("node").over(here).alias("high"), F.max("head").over(here).alias("heads")).where("salt > 0 or (low < high and heads)")
+    only_hot = [F.when(F.col("salt") > 0, F.col(c)).alias(c) for c in ("sig", "high", "heads")]
+    met = saved(met.select("salt", "node", "low", *only_hot), "met")
+    cold = met.where("salt = 0").select(F.col("low").alias("cell"), "node")
     # Keys of frequent shingles: at most counters times the size classes, whatever the number of documents.
     hot = met.where("salt > 0").groupBy("sig").agg(F.min("low").alias("cell"), F.max("high").alias("high"), F.max("heads").alias("heads")).where("cell < high and heads").select("sig", "cell")
-    hot = sent.where("salt > 0").join(F.broadcast(hot), "sig").select("cell", "node")
+    hot = met.where("salt > 0").join(F.broadcast(hot), "sig").select("cell", "node")
     return cold.unionByName(hot).distinct()
 
 
@@ -632,20 +674,36 @@ def linked(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, limit: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets, often = doc_sets(docs, n)
     none = spark.createDataFrame([], "a long, b long")
-    met = saved(regions(docs, often, n, num, den), "regions")
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    met = saved(regions(docs, often, n, num, den, total=total), "regions")
     if met.limit(1).count() == 0:
         return sets, none
-    reps = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node"), F.first("n_shingles").alias("n"), F.first("vec").alias("vec"))
+
+    def reps(*cols: str, of: DataFrame | None = None, rows: int = 0) -> DataFrame:
+        """A row for each set (of those in regions of): its least doc_id, its node and size, and cols."""
+        known = sets.where("digest is not null and doc_id is not null")
+        if of is not None:
+            nodes = of.select("node").distinct()
+            known = known.join(F.broadcast(nodes) if broadcastable(rows) else nodes, "node", "left_semi")
+        return known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in cols])
+
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = met.groupBy("cell").agg(F.count("*").alias("docs")).where(F.col("docs") > vectors).select("cell")
     sizes = saved(sizes, "wide")
     n_wide = sizes.count()
     wide = lambda how: met.join(F.broadcast(sizes) if broadcastable(n_wide) else sizes, "cell", how)
-    few = (wide("left_anti") if n_wide else met).join(reps, "node").select("cell", "node", "n", "vec")
-    kept = few.repartition(shuffle, "cell").sortWithinPartitions("cell").mapInPandas(_survivors(num, den), "cell long, node long")
+    def left(rows: DataFrame, own: DataFrame, name: str) -> DataFrame:
+        """The rows (cell, node) that the vectors of own leave."""
+        few = rows.join(own.select("node", "n", F.col(name).alias("vec")), "node").select("cell", "node", "n", "vec")
+        return saved(few.repartition(shuffle, "cell").sortWithinPartitions("cell").mapInPandas(_survivors(num, den), "cell long, node long"), f"left-{name}")
+
+    kept = left(wide("left_anti") if n_wide else met, reps("mini"), "mini")
+    rows = kept.count()
+    kept = left(kept, reps("vec", of=kept, rows=rows), "vec")
     if n_wide:
         kept = kept.unionByName(wide("left_semi"))
-    wanted = saved(kept.join(reps.drop("vec"), "node").select("doc_id", F.col("cell").cast("string").alias("region"), "digest", "n"), "wanted")
+    rows = kept.count()
+    wanted = saved(kept.join(reps(of=kept, rows=rows), "node").select("doc_id", F.col("cell").cast("string").alias("region"), "digest", "n"), "wanted")
     count = wanted.count()
     if not count:
         return sets, none

@@ -53,3 +53,25 @@ def test_stages_against_brute_force(spark, sf):
 def test_odd_and_empty_tables(spark, odd_dir, empty_dir):
     for d in (odd_dir, empty_dir):
         corpus_pipeline.run(spark, d).collect()
+
+
+def test_workers_give_their_memory_back(spark):
+    """A worker that has run a task of an operator and idles holds no memory of it; what others keep in it goes."""
+    import numpy as np
+    import pandas as pd
+
+    from tidelog.llm import common
+
+    def rss():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    @common.task_of("one")
+    def run(batches):
+        small = [bytes(2000) for _ in range(100_000)]  # from the heap, which keeps what is freed
+        yield from (len(b) + len(small) * 0 for b in batches)
+
+    before, gone = rss(), []
+    common.kept["other"] = lambda: gone.append(1)
+    assert list(run(iter([pd.DataFrame({"x": np.arange(3)})]))) == [3]
+    assert gone and "other" not in common.kept and rss() - before < 60

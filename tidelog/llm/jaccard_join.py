@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import alone, broadcastable, components, join_hot, only_ids, parts, saved
+from .common import broadcastable, components, join_hot, only_ids, parts, saved, task_of
 
 #: Shingles (8 bytes each) that one in-memory region may hold.
 REGION_SHINGLES = 4_000_000
@@ -254,8 +254,8 @@ class Prefixes:
 
 
 def _sets(n: int, counters: int):
+    @task_of("jaccard_join")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        alone("jaccard_join")
         often = Frequent(counters)
         for pdf in batches:
             ids, size, dig, node, vec, mini = pdf["doc_id"].array, [], [], [], [], []
@@ -287,6 +287,7 @@ def doc_sets(docs: DataFrame, n: int, counters: int = COUNTERS) -> tuple[DataFra
 def common_shingles(docs: DataFrame, n: int, total: int, sample: int = SAMPLE, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, ranks): those that documents with about sample of all total shingles hold more than once, sorted; the more, the higher the rank."""
 
+    @task_of("jaccard_join")
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for s in shingle_sets(pdf["text"].array, n):
@@ -309,8 +310,8 @@ def common_shingles(docs: DataFrame, n: int, total: int, sample: int = SAMPLE, m
 
 
 def _emit(n: int, num: int, den: int, frequent: np.ndarray, common: np.ndarray | None = None, ranks: np.ndarray | None = None, seen_limit: int = 200_000):
+    @task_of("jaccard_join")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        alone("jaccard_join")
         prefixes, seen = Prefixes(num, den, frequent, common, ranks), set()
         for pdf in batches:
             out, held = [], 0
@@ -405,6 +406,7 @@ def _may_link(size: np.ndarray, vecs: list[bytes], num: int, den: int, work: int
 
 
 def _survivors(num: int, den: int):
+    @task_of("jaccard_join")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rows = None, []
 
@@ -560,6 +562,7 @@ def _join_cells(num: int, den: int):
         found = join_cell([np.frombuffer(b, np.uint64) for b, _ in rows], num, den)
         return [rows[a][1] for a, _ in found], [rows[b][1] for _, b in found]
 
+    @task_of("jaccard_join")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rows, a, b = None, [], [], []
 
@@ -592,6 +595,7 @@ def _voronoi(num: int, den: int):
     """Rows of (region, salt), its pivots first: links to pivots (other is one), and the cells of each document."""
     names = ["region", "doc_id", "digest", "n", "other"]
 
+    @task_of("jaccard_join")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, pivots, forest, eps = None, [], None, 1 - num / den + 1e-9
         for pdf in batches:
@@ -708,6 +712,7 @@ def linked(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, limit: int
     if not count:
         return sets, none
 
+    @task_of("jaccard_join")
     def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             s = list(shingle_sets(pdf["text"].array, n))

@@ -30,13 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import alone, kept, parts, saved, text_of
+from .common import kept, parts, release, saved, task_of, text_of
 
 CAPACITY = 2048
 #: Pieces that one partition packs.
 PIECES_PER_PART = 20_000
 #: Chunks whose ids a worker remembers, in each of two generations.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 
 
 class WordTokens:
@@ -123,7 +123,7 @@ class WordTokens:
         return [self.whole(texts[k].as_py()) if odd[k] else flat[cuts[k] : cuts[k + 1]] for k in range(len(texts))]
 
 
-def groups_of(texts: pa.Array, size: int = 6_000_000) -> Iterator[tuple[int, int]]:
+def groups_of(texts: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """(start, length) of slices of texts of about so many bytes."""
     start = total = 0
     for k, n in enumerate(pc.binary_length(texts).to_pylist()):
@@ -152,8 +152,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     tokenizer = tokenizer or tokenizer_path()
     schema = "doc_id long, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
+    @task_of("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("packing")
         known, end, step, crc = word_tokens(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity, zlib.crc32
         for batch in batches:
             texts, doc_ids, rows = batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
@@ -165,6 +165,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                         cut = ids[at : at + step]
                         out.append((doc_ids[k], rows[k], j, at // 4, len(cut) // 4, crc(cut), cut)[: 6 + with_ids])
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], schema_names)
+            release()
 
     kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
     schema_names = [x.split()[0] for x in schema.split(", ")]

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alone, held_out, kept, saved, text_of
+from .common import alone, held_out, kept, saved, task_of, text_of
 
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
 THRESHOLD = 0.3
@@ -196,9 +196,9 @@ def features(text: str, lexicon: Lexicon) -> tuple[list[float], int]:
     return [*map(math.log1p, sums), 10 * sum(sums[:NEGATED]) / len(words)], len(found)
 
 
+@task_of("toxicity")
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(word, context): each word with a hash of its two neighbours, hardly ever twice in a task."""
-    alone("toxicity")
     seen: set[tuple[str, int]] = set()
     for pdf in batches:
         for t in pdf["text"].array:
@@ -281,8 +281,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[float]:
 
 
 def _featured(model: Model):
+    @task_of("toxicity")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        alone("toxicity")
         lex = model.lexicon()
         for pdf in batches:
             yield pd.DataFrame({"f": [features(t, lex)[0] for t in pdf["text"].array], "toxic": pdf["toxic"]})
@@ -332,8 +332,8 @@ def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     keep = docs.select(*columns, text_of().alias("__text"))
     schema = keep.drop("__text").schema.add("score", "double").add("n_clauses", "integer")
 
+    @task_of("toxicity")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        alone("toxicity")
         lex = model.lexicon()
         for pdf in batches:
             found = [features(t, lex) for t in pdf["__text"].array]

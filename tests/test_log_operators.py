@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import struct
 
 import pytest
@@ -319,3 +320,16 @@ def test_bundle(spark, tmp_path):
     write_bundle(str(tmp_path / "x.tar"), e, C.chunk_index(e), {"id": "1"})
     got, chunks, facts = read_bundle(spark, str(tmp_path / "x.tar"), str(tmp_path / "open"))
     assert got.collect() == e.collect() and chunks.count() == 1 and facts == {"id": "1"}
+
+
+def test_a_decoded_record_carries_no_other_records(spark):
+    """Rows that go through Python hold their record and resource, not the whole request; resources and scopes stay with their records."""
+    body = lambda s: {"timeUnixNano": "1000000", "body": {"stringValue": s}}
+    logs = [
+        {"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": name}}]}, "scopeLogs": [{"logRecords": [body(f"{name}{s}{k}") for k in range(3)]} for s in range(2)]}
+        for name in ("a", "b")
+    ] + [{"scopeLogs": [{"logRecords": [body("bare")]}]}]
+    got = otlp.decode_json(spark.createDataFrame([(json.dumps({"resourceLogs": logs}),)], "value string")).select(otlp.route(F.col("resource")).alias("stream"), "body", "time_ms")
+    assert sorted(map(tuple, got.collect())) == sorted([*[(n, f"{n}{s}{k}", 1) for n in "ab" for s in range(2) for k in range(3)], ("unknown_service", "bare", 1)])
+    kept = re.findall(r"Generate explode\(\S+logRecords\), \[(.*?)\], false", got._jdf.queryExecution().sparkPlan().toString())
+    assert len(kept) == 1 and kept[0].startswith("__resource#") and "," not in kept[0]

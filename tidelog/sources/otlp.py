@@ -102,10 +102,12 @@ def decode_json(requests: DataFrame, column: str = "value") -> DataFrame:
     """(resource, time_ms, observed_ms, severity, body, attrs) of export requests given as JSON text; values of any depth."""
     req = F.from_json(column, REQUEST)
     logs = requests.select("*", F.explode(req["resourceLogs"]).alias("__rl"))
-    logs = logs.select("*", F.explode("__rl.scopeLogs").alias("__sl")).select("*", F.explode("__sl.logRecords").alias("__r")).where("__r.body is not null")
+    # A resource is read before its records part: a record's row holds nothing of the other records.
+    logs = logs.select(*requests.columns, F.map_from_entries(nested_pairs(F.col("__rl.resource.attributes"))).alias("__resource"), F.col("__rl.scopeLogs").alias("__sls"))
+    logs = logs.select(*requests.columns, "__resource", F.explode("__sls").alias("__sl")).select(*requests.columns, "__resource", F.explode("__sl.logRecords").alias("__r")).where("__r.body is not null")
     ident = lambda c, k: F.when(F.regexp_like(c, F.lit("[^0]")), F.array(F.struct(F.lit(k).alias("key"), c.alias("value")))).otherwise(F.array().cast(_PAIRS))
     return logs.select(
-        *requests.columns, F.map_from_entries(nested_pairs(F.col("__rl.resource.attributes"))).alias("resource"), nanos_to_millis(F.col("__r.timeUnixNano")).alias("time_ms"), nanos_to_millis(F.col("__r.observedTimeUnixNano")).alias("observed_ms"),
+        *requests.columns, F.col("__resource").alias("resource"), nanos_to_millis(F.col("__r.timeUnixNano")).alias("time_ms"), nanos_to_millis(F.col("__r.observedTimeUnixNano")).alias("observed_ms"),
         F.nullif(F.col("__r.severityText"), F.lit("")).alias("severity"), nested(F.col("__r.body")).alias("body"),
         F.concat(nested_pairs(F.col("__r.attributes")), ident(F.coalesce("__r.traceId", F.lit("")), "trace_id"), ident(F.coalesce("__r.spanId", F.lit("")), "span_id")).alias("attrs"),
     )

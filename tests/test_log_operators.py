@@ -333,3 +333,10 @@ def test_a_decoded_record_carries_no_other_records(spark):
     assert sorted(map(tuple, got.collect())) == sorted([*[(n, f"{n}{s}{k}", 1) for n in "ab" for s in range(2) for k in range(3)], ("unknown_service", "bare", 1)])
     kept = re.findall(r"Generate explode\(\S+logRecords\), \[(.*?)\], false", got._jdf.queryExecution().sparkPlan().toString())
     assert len(kept) == 1 and kept[0].startswith("__resource#") and "," not in kept[0]
+
+
+def test_byte_counts_round_halves_to_even_and_stop_at_the_last_unit(spark):
+    n = [0, 1023, 1024, 1280, 1792, 1075, 2**20 - 1, 786432 * 5003, 2**30, 5 * 2**40 + 2**38]
+    rows = spark.createDataFrame([(x,) for x in n], "n long").select(times.human_bytes(F.col("n")), times.human_bytes(F.col("n"), ("KiB", "MiB"))).collect()
+    assert [r[0] for r in rows] == ["0 B", "1023 B", "1.0 KiB", "1.2 KiB", "1.8 KiB", "1.0 KiB", "1024.0 KiB", "3.7 GiB", "1.0 GiB", "5.2 TiB"]
+    assert [r[1] for r in rows][-3:] == ["3752.2 MiB", "1024.0 MiB", f"{5 * 2**20 + 2**18}.0 MiB"]

@@ -62,13 +62,21 @@ def shown(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss.SSS")
 
 
-def human_bytes(n: Column) -> Column:
+def human_bytes(n: Column, units: tuple[str, ...] = ("KiB", "MiB", "GiB", "TiB")) -> Column:
+    """n in the greatest of units that it fills, to a tenth; a half goes to the even tenth, as C's printf rounds."""
     out = F.format_string("%d B", n)
-    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n < 1024**k, out).otherwise(F.concat(F.format_string("%.1f", n / F.lit(float(1024**k))), F.lit(f" {unit}")))
+    for k, unit in enumerate(units, 1):
+        out = F.when(n < 1024**k, out).otherwise(F.concat(_tenths(n.cast("long"), 1024**k), F.lit(f" {unit}")))
     return out
 
 
+def _tenths(n: Column, unit: int) -> Column:
+    whole, rest = F.floor(n / F.lit(unit)), n % unit * 10  # a power of two divides exactly
+    tenth, left = F.floor(rest / unit), rest % unit * 2
+    tenth = whole * 10 + tenth + F.when((left > unit) | ((left == unit) & (tenth % 2 == 1)), 1).otherwise(0)
+    return F.format_string("%d.%d", F.floor(tenth / 10), tenth % 10)
+
+
 def human_duration(ms: Column) -> Column:
     s = F.floor(ms / 1000)
     d, h, m = F.floor(s / 86400), F.floor(s % 86400 / 3600), F.floor(s % 3600 / 60)

@@ -75,3 +75,24 @@ def test_workers_give_their_memory_back(spark):
     common.kept["other"] = lambda: gone.append(1)
     assert list(run(iter([pd.DataFrame({"x": np.arange(3)})]))) == [3]
     assert gone and "other" not in common.kept and rss() - before < 60
+
+
+def test_stages_begin_with_small_heaps(spark, sf, monkeypatch):
+    """The heap that a stage has grown goes back before the next one's workers run, whichever stage that is."""
+    from tidelog.llm import common
+
+    total = lambda: spark._jvm.java.lang.Runtime.getRuntime().totalMemory() / 1e6
+    held = spark._jvm.java.util.Vector()
+    for _ in range(40):
+        held.addElement(bytes(25_000_000))
+    held.removeAllElements()
+    grown = total()
+    common.trim_heaps(spark)
+    assert grown > 900 and total() < grown - 400
+
+    trims = []
+    monkeypatch.setattr(corpus_pipeline, "trim_heaps", lambda s: trims.append(s))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf)
+        assert len(trims) == k + 1

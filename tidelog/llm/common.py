@@ -60,6 +60,16 @@ def task_of(owner: str):
     return of
 
 
+def trim_heaps(spark: SparkSession) -> None:
+    """Has the JVM of each executor collect its garbage and give back the heap that falls free.
+
+    A heap keeps the size that the hungriest stage before gave it, which counts beside the Python
+    workers of the next one. A task for each slot calls System.gc(); results never depend on it.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -203,6 +203,23 @@ def test_resume_of_all_cursors(spark, sf):
     assert behind.count() > 4 and behind.join(catalog.resume_skip(spark, sf), "consumer", "left_anti").count() == 0
 
 
+def test_resume_is_dealt_over_tasks(spark):
+    """The inputs are small beside the result: no task makes most of it, nor with many consumers of one block of one store."""
+    from tidelog.plans import catalog
+
+    d = "/root/testdata/sf0.01"
+    got = standing.resume(catalog._entries(spark, d), catalog._cursors(spark, d), per_task=100_000)
+    made = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == catalog.resume_skip(spark, d).count() == 783_948 and max(made) < sum(made) / 2
+
+    e = spark.range(600).select(F.lit("s").alias("store_id"), F.floor(F.col("id") / 100).alias("chunk_seq"), F.col("id").alias("entry_no"))
+    c = spark.range(5000).select(F.concat(F.lit("c"), "id").alias("consumer"), F.lit("s").alias("store_id"), (F.col("id") % 3).alias("seq"), (F.col("id") % 7).alias("n"))
+    got = standing.resume(e, c, per_task=50_000)
+    made = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == got.distinct().count() == sum(600 - 100 * (k % 3) - k % 7 for k in range(5000)) and max(made) < sum(made) / 2
+    assert standing.resume(e.where("entry_no < 0"), c).count() == standing.resume(e, c.where("n < 0")).count() == 0
+
+
 def test_times():
     assert times.parse_time("2026-06-03T16:00:00+02:00") == times.parse_time("2026-06-03 14:00") == times.parse_time("1780495200") == times.parse_time("1780495200000")
     assert times.parse_time("2026.06.03") == times.parse_time("2026-06-03T00:00:00Z") and times.parse_duration("1.5h") == 5_400_000 and times.parse_duration("90") == 90_000

@@ -220,6 +220,27 @@ def test_resume_is_dealt_over_tasks(spark):
     assert standing.resume(e.where("entry_no < 0"), c).count() == standing.resume(e, c.where("n < 0")).count() == 0
 
 
+def test_resume_shuffles_by_its_inputs(spark):
+    """Neither consumers are copied for each block of chunks, nor entries for each group of consumers; long chunks come in parts."""
+    sc = spark.sparkContext
+
+    def stages():
+        listed = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (listed.apply(i) for i in range(listed.size()))}
+
+    # The last chunk, 600, has 700 entries, the others have ten.
+    e = spark.range(6700).select(F.lit("s").alias("store_id"), F.least(F.floor(F.col("id") / 10), F.lit(600)).alias("chunk_seq"), F.col("id").alias("entry_no"))
+    at = [*((f"c{k}", k % 5, k % 7) for k in range(4000)), ("half", 600, 300), ("almost", 600, 699), ("done", 600, 700), ("never", None, 0), ("gone", 601, 0)]
+    c = spark.createDataFrame([(x, "s", seq, n) for x, seq, n in at] + [("other", "t", 0, 0)], "consumer string, store_id string, seq long, n long")
+    before, got = stages(), standing.resume(e, c)
+    got.write.format("noop").mode("overwrite").save()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    assert 0 < sum(n for k, n in stages().items() if k not in before) < 2 * (6700 + len(at))
+    want = {x: (6700 - first, first, (6700 - first) * (first + 6699) // 2) for x, seq, n in at if seq in range(601) and (first := seq * 10 + n) < 6700}
+    made = got.groupBy("consumer").agg(F.count("*"), F.min("entry_no"), F.sum("entry_no")).collect()
+    assert len(want) == 4002 and {x[0]: x[1:] for x in map(tuple, made)} == want
+
+
 def test_times():
     assert times.parse_time("2026-06-03T16:00:00+02:00") == times.parse_time("2026-06-03 14:00") == times.parse_time("1780495200") == times.parse_time("1780495200000")
     assert times.parse_time("2026.06.03") == times.parse_time("2026-06-03T00:00:00Z") and times.parse_duration("1.5h") == 5_400_000 and times.parse_duration("90") == 90_000
